@@ -61,7 +61,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_events, p3_per
 
 BEST = """
   select query_number, match_id, p_value, match_ordinal, row_number() over (partition by query_number
-    order by p_value, case when coalesce(match_ordinal, 0) = 0 then 1 else 0 end, match_ordinal, match_id) as rank
+    order by p_value, nullif(match_ordinal, 0) asc nulls last, match_id) as rank
   from (select distinct query_number, match_id, p_value, match_ordinal from algo_datatypes
         where query_number is not null and p_value between 0 and 1 and not isnan(p_value))"""
 

@@ -45,5 +45,5 @@ def top_n_per_group(df: DataFrame, group: str, score: str, n: int, ties: list[Co
 def best_matches(matches: DataFrame, n: int = 5) -> DataFrame:
     """Problem 5: the `n` best matches of each query by p_value, then match_ordinal (null and 0 last), then match_id."""
     valid = matches.select("query_number", "match_id", "p_value", "match_ordinal").where(F.col("p_value").between(0, 1) & ~F.isnan("p_value"))
-    unset = F.coalesce(F.col("match_ordinal"), F.lit(0)) == 0
-    return top_n_per_group(valid, "query_number", "p_value", n, [unset.asc(), F.col("match_ordinal").asc()], "match_id", F.floor(F.lit(256) * F.sqrt(F.sqrt("p_value"))))
+    ordinal = F.nullif(F.col("match_ordinal"), F.lit(0))
+    return top_n_per_group(valid, "query_number", "p_value", n, [ordinal.asc_nulls_last()], "match_id", F.floor(F.lit(256) * F.sqrt(F.sqrt("p_value"))))
