@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import pieces, quantiles, runs, tokens, topn
+from tidewave.llm import packing, pieces, quantiles, runs, tokens, topn, truncation
 from tidewave.session import one_row_per_key, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,19 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_events, p3_percentiles, p3_summaries, p4_found, p4_pieces, p5_found, p5_top, p6_ids)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.count_tokens(table(spark, d, "documents")), "doc_id", "n_tokens")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.scored(table(spark, d, "documents")).where("cut_off").select("doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.shares(truncation.scored(table(spark, d, "documents")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_events, p3_percentiles, p3_summaries, p4_found, p4_pieces, p5_found, p5_top, p6_ids, p7_containers, p8_found, p8_shares)}
 
 BEST = """
   select query_number, match_id, p_value, match_ordinal, row_number() over (partition by query_number
