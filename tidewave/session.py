@@ -29,14 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder all executors share, its lineage cut.
-
-    The folder is the one `spark.checkpoint.dir` names; only where that is unset (tests, a laptop) a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one `spark.checkpoint.dir` names; only where that is unset (tests, a laptop) a local one."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewave-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -52,12 +55,12 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 def one_row_per_key(df: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One physical row for each non-null `key`; rows of null key all stay.
 
-    Wide columns are never shuffled: only (key, file, row number) is grouped, which names the surplus rows, and those are
-    taken out by an anti join, broadcast while their counted number is within `broadcast_rows`. The first row by file and
-    position is kept. Without file positions (data not read from files) rows are grouped whole.
+    Wide columns are never shuffled: only (key, hash of the file's path, row number) is grouped, which names the surplus rows, and those are
+    taken out by an anti join, broadcast while their counted number is within `broadcast_rows`. One of the rows
+    is kept, the same in every run. Without file positions (data not read from files) rows are grouped whole.
     """
     try:
-        placed = df.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+        placed = df.withColumns({"__file": F.xxhash64(F.col("_metadata.file_path")), "__row": F.col("_metadata.row_index")})
         placed.schema  # analysis
     except AnalysisException:
         nulls, rest = df.where(F.col(key).isNull()), df.where(F.col(key).isNotNull())
