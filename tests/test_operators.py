@@ -1,0 +1,277 @@
+"""Statistics, ranks, intervals, encoding, segmentation, sources and streams on small tables with awkward rows."""
+
+import struct
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tidewave.functions import encode as en
+from tidewave.operators import decide, intervals, normalize, prefix, rank, ranksum, segment, states, subject
+from tidewave.session import one_row_per_key
+from tidewave.sources import fast5, readers
+from tidewave.sources.stream import channel_range, chunk_stream
+from tidewave.streaming import online
+
+
+def test_stats_goldens(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(1, 11)] + [("b", 1.0), ("c", None), ("a", float("nan"))], "k string, v double")
+    got = {r.k: r for r in normalize.stats(df, ["k"], "v").collect()}
+    assert got["a"].sd == pytest.approx(2.8723, abs=1e-4) and got["a"].n == 10
+    assert got["b"].mean is None and got["c"].n == 0
+
+
+def test_rescale_goldens(spark):
+    def ends(values, groups):
+        s = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
+        to = normalize.stats(s, [], "v").first()
+        q = spark.createDataFrame([(g, float(v)) for g, vs in zip(groups, values) for v in vs], "g int, v double")
+        z = normalize.znorm_global(q, "v") if len(set(groups)) > 1 else normalize.znorm_local(q, "g", "v")
+        return [r[0] * to["sd"] + to["mean"] for r in z.orderBy("v").select("z").collect()]
+
+    got = ends([range(1, 11)], [0])
+    assert got[0] == pytest.approx(5.271, abs=0.01) and got[-1] == pytest.approx(95.729, abs=0.01)
+
+
+def test_welford_chunks():
+    rng = np.random.default_rng(0)
+    chunks = [rng.permutation([0.0] * 4 + [100.0] * 6) if i % 2 else rng.permutation([0.0] * 5 + [100.0] * 5) for i in range(10)]
+    n, mean, ssq = 0, 0.0, 0.0
+    for c in chunks:
+        z, n, mean, ssq = online.welford_chunk(c, n, mean, ssq)
+    x = np.concatenate(chunks)
+    assert n == 100 and mean == pytest.approx(55) and ssq == pytest.approx(247500) and len(z) == 10
+    assert z[-1] == pytest.approx((x[-1] - x.mean()) / x.std(ddof=1))
+    z, n2, *_ = online.welford_chunk(np.array([np.nan]), n, mean, ssq)
+    assert n2 == n and np.isnan(z).all()
+
+
+def test_welford_window_equals_stream_form(spark):
+    x = [3.0, 5.0, 5.0, 9.0, 1.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "k int, i int, v double")
+    got = [r.z for r in normalize.welford(df, "k", ["i"], "v").orderBy("i").collect()]
+    assert got == pytest.approx(online.welford_chunk(np.array(x), 0, 0.0, 0.0)[0].tolist())
+
+
+def test_percentile_align_constant(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, 5.0)], "k int, v double")
+    assert [r.z for r in normalize.percentile_align(df, "k", "v").collect()] == [0.0, 0.0]
+
+
+def test_fdr_goldens(spark):
+    df = spark.createDataFrame([(1, 0.0)] + [(1, i / 100) for i in range(1, 100)] + [(None, 0.1), (2, None), (3, float("nan"))], "query_number int, p_value double")
+    got = [r.q for r in rank.fdr(df).orderBy("p_value").collect()]
+    assert len(got) == 100 and got[0] == 0 and got[1] == pytest.approx(0.5) and got[98] == pytest.approx(0.98 / 0.99, abs=1e-3) and got[99] == pytest.approx(0.99)
+
+
+def test_ranks_with_ties(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(p)) for g, p in zip(rng.integers(0, 3, 300), rng.integers(0, 20, 300) / 20)]
+    df = spark.createDataFrame(rows, "query_number int, p_value double")
+    p = pd.DataFrame(rows, columns=["g", "p"])
+    p["rank"], p["dense"] = p.groupby("g").p.rank("min"), p.groupby("g").p.rank("dense")
+    want = sorted(map(tuple, p.astype(float).to_numpy().tolist()))
+    got = sorted((float(r.query_number), r.p_value, float(r["rank"]), float(r.dense_rank)) for r in rank.ranked(df).collect())
+    assert got == want
+    mono = rank.fdr_monotone(df).toPandas()
+    for _, g in mono.groupby("query_number"):
+        assert g.sort_values("p_value").q.is_monotonic_increasing
+
+
+def test_limits_keep_ties(spark):
+    df = spark.createDataFrame([(1, 0.001)] * 3 + [(1, 0.002)], "query_number int, p_value double")
+    assert rank.limited(df, 0.01, None, 1).count() == 3
+    assert rank.limited(df.where("false"), 0.01).count() == 0
+
+
+def test_rank_sum_equals_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(1, float(v), bool(f)) for v, f in zip(rng.integers(0, 9, 60), rng.integers(0, 2, 60))] + [(2, 1.0, True), (1, None, True)]
+    got = {r.g: r for r in ranksum.rank_sum(spark.createDataFrame(rows, "g int, v double, f boolean"), "g", "v", "f").collect()}
+    a, b = [v for g, v, f in rows if g == 1 and f and v is not None], [v for g, v, f in rows if g == 1 and not f]
+    assert got[1].u == sum(y < x for x in a for y in b) and got[2].p_value is None
+
+
+BED = [("test", 400, 600), ("abb", 850, 1000), ("saf", 65000, 65501), ("jump", 65400, 65600), ("ending", 65450, 70000)]
+
+
+def test_interval_goldens(spark):
+    bed = intervals.from_bed(spark.createDataFrame(BED, "seq_name string, start_pos long, end_pos long"))
+    q = spark.createDataFrame([(1, "x", 500, 900), (2, "x", 65500, 66500)], "id int, name string, start long, stop long")
+    got = sorted((r.id, r.r_name) for r in intervals.overlap_join(q, bed, ignore_name=True).collect())
+    assert got == [(1, "abb"), (1, "test"), (2, "ending"), (2, "jump"), (2, "saf")]
+    assert intervals.overlap_join(q, bed).count() == 0
+
+
+def test_bed_cleaning(spark):
+    rows = [(">a\r", 10, 20), ("a", 20, 10), ("a", 5, 5), (None, 1, 2), ("b", None, 3)]
+    got = intervals.from_bed(spark.createDataFrame(rows, "seq_name string, start_pos long, end_pos long")).collect()
+    assert [tuple(r) for r in got] == [("a", 10, 19)]
+
+
+def test_interval_joins_equal_nested_loop(spark):
+    rng = np.random.default_rng(7)
+    make = lambda n: [(i, "ab"[rng.integers(2)], int(s), int(s + rng.integers(-2, 60))) for i, s in enumerate(rng.integers(0, 400, n))]
+    a, b = [*make(80), (99, None, 1, 2)], make(80)
+    schema = "id int, name string, start long, stop long"
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    ok = lambda p, q: p[1] == q[1] and p[2] <= p[3] and q[2] <= q[3]
+    want = sorted((p[0], q[0]) for p in a for q in b if ok(p, q) and q[3] >= p[2] and q[2] <= p[3])
+    assert sorted((r.id, r.r_id) for r in intervals.overlap_join(x, y, bin_size=32).collect()) == want
+    inside = sorted((p[0], q[0]) for p in a for q in b if ok(p, q) and q[2] >= p[2] and q[3] <= p[3])
+    assert sorted((r.id, r.r_id) for r in intervals.overlap_join(x, y, contained=True, bin_size=32).collect()) == inside
+    assert sorted(r.id for r in intervals.overlapping(x, y, "id").collect()) == sorted({p for p, _ in want})
+    assert not intervals.is_valid(x) and intervals.extent(x).first().start == min(r[2] for r in a)
+
+
+def test_locate_and_spans(spark):
+    offsets = spark.createDataFrame([(1, "b", 20), (1, "a", 10), (1, "a", 10), (1, None, None), (1, "z", 99), (1, "c", 20)], "subject_id long, seq_name string, end_pos long")
+    n = spark.createDataFrame([(1, 20)], "subject_id long, n int")
+    spans = intervals.sequence_spans(offsets, n)
+    assert sorted((r.seq_name, r.start, r.end) for r in spans.collect()) == [("a", 0, 10), ("b", 10, 20)]
+    m = spark.createDataFrame([(1, 9), (1, 10), (1, 20), (2, 1), (1, None)], "subject_id long, at long")
+    assert sorted((r["at"], r.seq_name, r.local_pos) for r in intervals.locate(m, spans, "at").collect()) == [(9, "a", 9), (10, "b", 0)]
+
+
+def test_merge_goldens(spark):
+    rows = [(i, "n", [float(j) for j in range(n)]) for i, n in enumerate((10, 15, 12))] + [(3, "e", []), (4, "e", None)]
+    got = [(r.start, r.end) for r in subject.merge_offsets(spark.createDataFrame(rows, "seq_id long, name string, values array<double>")).orderBy("seq_id").collect()]
+    assert got == [(0, 10), (10, 25), (25, 37)]
+
+
+@pytest.mark.parametrize("p,overlap,negative,want", [(0.001, None, False, "accept"), (0.001, None, True, "eject"), (0.5, None, False, "eject"), (0.5, None, True, "accept"), (0.001, True, False, "accept"), (0.001, False, False, "eject"), (None, None, False, "none")])
+def test_decisions(spark, p, overlap, negative, want):
+    chunks = spark.createDataFrame([(1,)], "k int")
+    m = spark.createDataFrame([(1, p, overlap)], "k int, p_value double, o boolean")
+    r = decide.decisions(chunks, m, "k", 0.01, negative, "o" if overlap is not None else None).first()
+    assert r.action == want
+
+
+def test_kmers(spark):
+    df = spark.createDataFrame([("ACGTU",), ("acgNN",), ("AC",), (None,), ("",)], "s string")
+    got = [r[0] for r in df.select(en.kmer_indexes(en.clean_bases("s", rna=True), 5)).collect()]
+    assert got == [[0 * 256 + 1 * 64 + 2 * 16 + 3 * 4 + 3], [0 * 256 + 64 + 32 + 0 + 0], [], None, []]
+
+
+def test_encode_strands(spark):
+    model = spark.createDataFrame([(i, float(i)) for i in range(1024)], "kmer_idx int, mean double")
+    df = spark.createDataFrame([("CCAGTTGTGTGTACTACA",)], "sequence string")
+    one = en.encode(df, model, rna=True).first()["values"]
+    both = en.encode(df, model, rna=True, complement=True).first()["values"]
+    back = en.encode(df.selectExpr("reverse(translate(sequence, 'ACGT', 'TGCA')) as sequence"), model, rna=True).first()["values"]
+    assert len(one) == 14 and len(both) == 28 and both == one + back
+    assert len(en.encode(df, spark.createDataFrame([(0, 1.0)], "kmer_idx int, mean double")).first()["values"]) == 13
+
+
+def test_unique_prefixes(spark):
+    seqs = ["ACGTACGT", "ACGTTT", "ACGTACGA", "GG", "GG", "", None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id long, s string")
+    got = {r.id: r.prefix_len for r in prefix.unique_prefixes(df, "id", "s").collect()}
+    from os.path import commonprefix
+
+    for i, s in enumerate(seqs[:-1]):
+        assert got[i] == max(len(commonprefix([s, t])) for j, t in enumerate(seqs[:-1]) if i != j)
+
+
+def test_segmentation(spark):
+    x = np.repeat([100.0, 200, 150, 400], 20) + np.tile([0, 1], 40)
+    df = spark.createDataFrame([(1, x.tolist()), (2, []), (3, None), (4, [float("nan")]), (5, [7.0])], "k long, v array<double>")
+    got = {r.k: r["values"] for r in segment.segmented(df, "k", "v", 6).collect()}
+    assert set(got) == {1, 5} and got[5] == [7.0]
+    for level in (100.5, 200.5, 150.5, 400.5):
+        assert any(abs(v - level) < 1 for v in got[1])
+    assert segment.split_points(np.array([1.0, 1, 9, 9]), 2, 4) == [0, 2]
+    assert segment.split_points(np.array([1.0, 1, 9, 9]), 1, 3) is None
+
+
+def test_text_and_tsv(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("3 x\n\n4.5\nbad\n7")
+    assert readers.read_text_series(spark, str(tmp_path / "a.txt")).first()["values"] == [3.0, 4.5, None, 7.0]
+    assert readers.read_text_series(spark, str(tmp_path / "a.txt"), False).first()["values"] == [3.0, 4.5, None]
+    (tmp_path / "b.tsv").write_text("test1\t15\t2\nt2\t3\n")
+    assert [(r.name, r["values"]) for r in readers.read_series(spark, str(tmp_path / "b.tsv")).collect()] == [("test1", [15.0, 2.0]), ("t2", [3.0])]
+    assert readers.count_records(spark, str(tmp_path / "b.tsv")) == 2
+    assert readers.list_files(spark, str(tmp_path)).count() == 2
+    with pytest.raises(ValueError):
+        readers.read_series(spark, "x.pdf")
+
+
+def test_binary_fasta_bed_index(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(struct.pack("<3f", 1, 2, 3) + b"x")
+    assert readers.read_binary_series(spark, str(tmp_path / "a.bin")).first()["values"] == [1.0, 2.0, 3.0]
+    (tmp_path / "a.fna").write_text(">one x\nacg\n\nTT\n>two\n")
+    assert [tuple(r) for r in readers.read_fasta(spark, str(tmp_path / "a.fna")).collect()] == [(">one x", "ACGTT"), (">two", "")]
+    assert readers.count_records(spark, str(tmp_path / "a.fna")) == 2
+    (tmp_path / "a.bed").write_text("c\t1\t5\textra\r\nd\t7\t8")
+    assert [tuple(r) for r in readers.read_bed(spark, str(tmp_path / "a.bed")).collect()] == [("c", 1, 4), ("d", 7, 7)]
+    (tmp_path / "bad.bed").write_text("c\tx\t5\n")
+    with pytest.raises(Exception, match="malformed"):
+        readers.read_bed(spark, str(tmp_path / "bad.bed")).collect()
+    (tmp_path / "a.idx").write_text("1\n>a\t10\n>b\t25\n")
+    assert [(r.name, r.start, r.end) for r in readers.read_index(spark, str(tmp_path / "a.idx")).orderBy("seq_id").collect()] == [(">a", 0, 10), (">b", 10, 25)]
+
+
+def test_decode_samples(spark):
+    df = spark.createDataFrame([(bytearray(struct.pack("<2h", 5, -3)),), (None,)], "b binary")
+    assert [r[0] for r in df.select(readers.decode_samples("b")).collect()] == [[5.0, -3.0], None]
+
+
+def test_fast5_layouts():
+    signal = {"Signal": [1, 2]}
+    assert list(fast5.single_and_multi_reads({"Raw": {"Reads": {"Read_1": signal}}, "Raw/Reads": {"Read_1": signal}})) == [("Read_1", [1.0, 2.0])]
+    assert list(fast5.single_and_multi_reads({"read_a": {"Raw": signal}, "other": {}})) == [("read_a", [1.0, 2.0])]
+    bulk = {"Raw": {"Channel_1": {"Signal": [4, 5, 6]}}}
+    assert fast5.is_bulk(bulk) and list(fast5.bulk_reads(bulk, fast5.ReadsPartition("", "Channel_1", 1, 9))) == [("Channel_1_1_3", [5.0, 6.0])]
+
+
+def test_state_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 0, 3, 0), (1, 1, 2, 5), (1, 2, 3, 7), (1, 3, 3, 7), (1, 4, 2, 9)], "c int, row int, state int, at int")
+    got = sorted((r.start, r.end) for r in states.state_ranges(rows, "c", ["row"], F.col("state") == 3, "at", F.max(F.col("at") + 3)).collect())
+    assert got == [(0, 5), (7, 9), (7, 9)]
+
+
+def test_in_strand_and_buffer(spark):
+    def ema(x):
+        avg, hit = sum(x[:10]) / 10, False
+        hit = 300 <= avg <= 1300
+        for v in x[10:]:
+            avg += v / 10 - avg / 10
+            hit |= 300 <= avg <= 1300
+        return hit
+
+    lists = [[0.0] * 30, [0.0] * 10 + [900.0] * 5, [500.0] * 9, [500.0] * 10, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<double>")
+    got = {r.i: r.hit for r in df.select("i", online.in_strand("x").alias("hit")).collect()}
+    assert got == {0: ema(lists[0]), 1: ema(lists[1]), 2: False, 3: True, 4: False}
+    both = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), (None, [5.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in both.select(online.ring_buffer("a", "b", 3)).collect()] == [[2.0, 3.0, 4.0], [5.0]]
+
+
+def test_channel_range(spark):
+    df = spark.createDataFrame([(1,), (102,), (103,), (512,), (513,), (None,)], "c int")
+    assert [r[0] for r in df.select(channel_range("c", 1, 512, 5)).collect()] == [0, 0, 1, 4, None, None]
+
+
+def test_stream_state_and_decisions(spark, tmp_path):
+    for i, x in enumerate(([1.0, 2.0], [3.0], [4.0, float("nan")])):
+        spark.createDataFrame([(i, 7, x)], "seq long, channel int, samples array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = chunk_stream(spark, str(tmp_path / "in"), "seq long, channel int, samples array<double>", files_per_batch=3)
+    out = online.online_znorm(s, "channel", ["seq"], "samples", reset=lambda r: r["seq"] == 1)
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.seq: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sum(got.values()) in (6, 7) and got[min(got)] >= 1
+    q = online.decide_stream(chunk_stream(spark, str(tmp_path / "in"), "seq long, channel int, samples array<double>"), lambda b: b.selectExpr("channel", "seq", "'accept' as action"), str(tmp_path / "decided"), str(tmp_path / "dstate"), ["channel", "seq"])
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "decided")).count() == 3
+
+
+def test_one_row_per_key(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (None, "n"), (None, "n")]
+    df = spark.createDataFrame(rows, "id long, x string")
+    df.repartition(3).write.parquet(str(tmp_path / "t"))
+    for d in (df, spark.read.parquet(str(tmp_path / "t")), df.where("false")):
+        got = [r.id for r in one_row_per_key(d, "id").collect()]
+        assert sorted(x or 0 for x in got) == ([0, 0, 1, 2] if got else [])
+    assert one_row_per_key(spark.read.parquet(str(tmp_path / "t")), "id", broadcast_rows=0).count() == 4

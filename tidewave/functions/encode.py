@@ -14,10 +14,9 @@ SIGNAL_TYPES = ("mean", "sd", "sd_sd", "sd_sum")
 
 
 def clean_bases(seq: Column | str, rna: bool = False) -> Column:
-    """Capitals A, C, G, T; U counts as T in RNA; every other letter counts as A."""
-    seq = F.upper(F.col(seq) if isinstance(seq, str) else seq)
-    seq = F.translate(seq, "U", "T") if rna else seq
-    return F.regexp_replace(seq, "[^ACGT]", "A")
+    """Capitals A, C, G, T; U counts as T in RNA; every other character counts as A. Only ASCII letters have capitals here."""
+    seq = F.translate(F.col(seq) if isinstance(seq, str) else seq, "acgtu", "ACGTU")
+    return F.regexp_replace(F.translate(seq, "U", "T") if rna else seq, "[^ACGT]", "A")
 
 
 def reverse_complement(seq: Column | str) -> Column:
@@ -26,14 +25,31 @@ def reverse_complement(seq: Column | str) -> Column:
 
 
 def kmer_indexes(seq: Column | str, k: int) -> Column:
-    """Numbers of the sequence's k-mers in order, base 4 with A 0, C 1, G 2, T 3, the first base most significant.
+    """Numbers of the k-mers of cleaned bases in order, base 4 with A 0, C 1, G 2, T 3, the first base most significant.
 
-    Sequences shorter than k give an empty list, null gives null.
+    Sequences shorter than k give an empty list, null gives null. An Arrow function: one pass over each sequence, where a
+    column expression would take a substring for every k-mer.
     """
-    seq = F.col(seq) if isinstance(seq, str) else seq
-    digits = F.translate(seq, "ACGT", "0123")
-    many = F.length(seq) - (k - 1)
-    return F.when(many > 0, F.transform(F.sequence(F.lit(1), many), lambda i: F.conv(F.substring(digits, i, F.lit(k)), 4, 10).cast("int"))).otherwise(F.when(seq.isNotNull(), F.array().cast("array<int>")))
+    digit = np.zeros(256, np.int32)
+    digit[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+    @F.pandas_udf("array<int>")
+    def number(s: pd.Series) -> pd.Series:
+        def one(x: str | None):
+            if x is None:
+                return None
+            d = digit[np.frombuffer(x.encode(), np.uint8)]
+            n = len(d) - k + 1
+            if n <= 0:
+                return np.zeros(0, np.int32)
+            out = np.zeros(n, np.int32)
+            for j in range(k):
+                out = out * 4 + d[j : j + n]
+            return out
+
+        return s.map(one)
+
+    return number(F.col(seq) if isinstance(seq, str) else seq)
 
 
 def model_values(model: DataFrame, k: int, signal_type: int = 0) -> np.ndarray:

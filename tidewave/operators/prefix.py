@@ -46,7 +46,7 @@ def unique_prefixes(seqs: DataFrame, key: str, seq: str, extra: int = 3) -> Data
     def lcp(x: F.Column, y: F.Column) -> F.Column:
         most = F.least(F.length(x), F.length(y))
         differ = F.filter(F.sequence(F.lit(1), most), lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
-        return F.coalesce(F.when(most > 0, F.coalesce(F.array_min(differ) - 1, most)), F.lit(0))
+        return F.when(x.isNotNull() & y.isNotNull() & (most > 0), F.coalesce(F.array_min(differ) - 1, most)).otherwise(F.lit(0))
 
     edges = edges.select("part", lcp(F.col("a"), F.col("before")).alias("up"), lcp(F.col("z"), F.col("after")).alias("down"))
     out = found.join(F.broadcast(edges), "part")

@@ -18,7 +18,7 @@ def z(value: str, mean: str, sd: str) -> str:
 
 def stats(key: str) -> str:
     many = "case when count(v) >= 2 then {} end"
-    return f"select {key}, count(v) as n, {many.format('round(avg(v), 4)')} as mean, {many.format('round(stddev_pop(v), 4)')} as sd, {many.format('min(v)')} as low, {many.format('max(v)')} as high from {READINGS} group by {key}"
+    return f"select {key}, count(v) as n, {many.format('round(avg(v) + 1e-7, 4)')} as mean, {many.format('round(stddev_pop(v) + 1e-7, 4)')} as sd, {many.format('min(v)')} as low, {many.format('max(v)')} as high from {READINGS} where {key} is not null group by {key}"
 
 
 SPANS = """(select subject_id, seq_name, coalesce(lag(end_pos) over (partition by subject_id order by end_pos), 0) as "start", end_pos as "end"
@@ -59,26 +59,26 @@ def erf(x: str) -> str:
     return f"(sign({x}) * (1 - {t} * ({ERF[0]} + {t} * ({ERF[1]} + {t} * ({ERF[2]} + {t} * ({ERF[3]} + {t} * {ERF[4]})))) * exp(-({x}) * ({x}))))"
 
 
-BASES = "regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGT]', 'A', 'g')"
-DNA_BASES = "regexp_replace(upper(text), '[^ACGT]', 'A', 'g')"
+BASES = "regexp_replace(translate(text, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'A', 'g')"
+DNA_BASES = "regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'A', 'g')"
 
 
-def anchors(size: int, warp: int | None) -> str:
+def anchors(size: int, warp: int | None, bucket: int = 1024) -> str:
     """Best window of each bucket and block, the alignment written out cell by cell."""
     rows = band(size, warp)
-    cells: list[str] = []
-    for i, cols in enumerate(rows):
-        for j in cols:
-            froms = [f"c{a}_{b}" for a, b in ((i - 1, j), (i - 1, j - 1), (i, j - 1)) if a >= 0 and b >= 0 and b in rows[a]]
-            cost = f"(q[{i + 1}] - s{j}) * (q[{i + 1}] - s{j})"
-            cells.append(f"{cost}{' + least(' + ', '.join(froms) + ')' if froms else ''} as c{i}_{j}")
     leads = ", ".join(f"lead(value, {j}) over (order by event_id) as s{j}" for j in range(size))
-    return f"""(select query_id, bucket, block, arg_min(pos, (dist, pos)) as pos, min(dist) as dist from (
-  select query_id, bucket, block, pos, {', '.join(cells)}, c{size - 1}_{size - 1} as dist
-  from (select event_id as pos, event_id // 1024 as bucket, {leads} from events) w,
+    sql = f"""select query_id, bucket, block, pos, q, {', '.join(f's{j}' for j in range(size))}
+  from (select event_id as pos, event_id // {bucket} as bucket, {leads} from events) w,
     (select vec_id as query_id, b as block, [cast(x as double) * 100 for x in embedding[b * {size} + 1 : b * {size} + {size}]] as q
      from (select vec_id, embedding, unnest(range(len(embedding) // {size})) as b from embeddings where vec_id % 100 = 0)) k
-  where s{size - 1} is not null) group by 1, 2, 3)"""
+  where s{size - 1} is not null"""
+    for i, cols in enumerate(rows):  # a select for each cell: aliases within one would be expanded again and again
+        for j in cols:
+            froms = [f"c{a}_{b}" for a, b in ((i - 1, j), (i - 1, j - 1), (i, j - 1)) if a >= 0 and b >= 0 and b in rows[a]]
+            cost = f"(q[{i + 1}] - s{j}) * (q[{i + 1}] - s{j})"
+            sql = f"select *, {cost}{' + least(' + ', '.join(froms) + ')' if froms else ''} as c{i}_{j} from ({sql})"
+    dist = f"c{size - 1}_{size - 1}"
+    return f"(select query_id, bucket, block, arg_min(pos, ({dist}, pos)) as pos, min({dist}) as dist from ({sql}) group by 1, 2, 3)"
 
 
 FDR = "least(1.0, n * p_value / rank)"
@@ -132,13 +132,13 @@ select name, cast(max(p) as integer) as prefix_len, cast(least(max(p) + 3, max(n
     "mini_dtw_hard": f"select query_id, bucket, cast(block as integer) as block, pos, round(dist, 4) as dist from {anchors(10, None)}",
     "mini_dtw_soft": f"select query_id, bucket, cast(block as integer) as block, pos, round(dist, 4) as dist from {anchors(12, 3)}",
     "collinear_pairs": f"""select query_id, bucket, cast(block as integer) as block, cast(nb as integer) as next_block from (
-select *, lead(block) over w as nb, lead(pos) over w as np from {anchors(10, None)} window w as (partition by query_id, bucket order by block))
+select *, lead(block) over w as nb, lead(pos) over w as np from {anchors(10, None, 64)} window w as (partition by query_id, bucket order by block))
 where np >= pos + floor(10 * (nb - block) * 0.75) and np <= pos + floor(10 * (nb - block) * 1.25)""",
     "in_strand_average": """select user_id, bool_or(n = 10 and mean between 40.0 and 60.0) as in_strand from (
 select user_id, avg(value) over w as mean, count(value) over w as n from events window w as (partition by user_id order by ts, event_id rows 9 preceding)) group by 1""",
     "in_strand_ranges": """select user_id, event_id as "start", coalesce(lead_id, most + 1) as "end" from (
 select user_id, event_type, event_id, lead(event_id) over (partition by user_id order by event_id) as lead_id, max(event_id) over (partition by user_id) as most from events) where event_type = 'view'""",
-    "channel_parts": f"select case when m_channel_num between 1 and 512 then least((m_channel_num - 1) // 102, 4)::integer end as part, count(*) as n from {ITEMS} group by 1",
+    "channel_parts": f"select case when m_channel_num between 1 and 512 then least((m_channel_num - 1) // 102, 4)::integer else -1 end as part, count(*) as n from {ITEMS} group by 1",
     "stream_channel_state": f"""select channel, n, round(mean, 4) as mean, round(ssq / greatest(n, 1), 3) as ssq from (
 select i.m_channel_num as channel, count(v) as n, coalesce(avg(v), 0.0) as mean, coalesce(sum(v * v) - count(v) * avg(v) * avg(v), 0.0) as ssq
 from {ITEMS} i left join {READINGS} r using (item_id) where i.m_channel_num between 1 and 512 group by 1)""",

@@ -65,14 +65,19 @@ def readings(spark: SparkSession, d: str, key: str) -> DataFrame:
     return rows.where("not isnan(v) and abs(v) < 1e6").withColumn("v", F.col("v").cast("double"))
 
 
+def rounded_stats(df: DataFrame) -> DataFrame:
+    """To four digits, off the ties that means of whole numbers often are."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("mean", "sd")})
+
+
 @query
 def stats_items(spark, d):
-    return rounded(normalize.stats(readings(spark, d, "item_id"), ["item_id"], "v"), "mean", "sd", digits=4)
+    return rounded_stats(normalize.stats(readings(spark, d, "item_id"), ["item_id"], "v"))
 
 
 @query
 def stats_channels(spark, d):
-    return rounded(normalize.stats(readings(spark, d, "m_channel_num"), ["m_channel_num"], "v"), "mean", "sd", digits=4)
+    return rounded_stats(normalize.stats(readings(spark, d, "m_channel_num").where("m_channel_num is not null"), ["m_channel_num"], "v"))
 
 
 @query
@@ -119,7 +124,7 @@ def merge_offsets(spark, d):
 
 @query
 def subject_long(spark, d):
-    return subject.long_form(table(spark, d, "cdtw"), "subject_id", "sub").where("not isnan(value)")
+    return subject.long_form(table(spark, d, "cdtw"), "subject_id", "sub").where("value is not null and not isnan(value)")
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +250,7 @@ def rank_sum(spark, d):
 
 @query
 def kmer_index(spark, d):
-    seq = en.clean_bases("text")
+    seq = en.clean_bases("text", rna=True)
     rows = table(spark, d, "documents").where("text is not null").select("source", F.explode(en.kmer_indexes(seq, en.RNA)).alias("kmer"))
     return rows.groupBy("source", "kmer").agg(F.count("*").alias("n"))
 
@@ -273,9 +278,9 @@ def prefix_unique(spark, d):
 # alignment
 
 
-def event_tiles(spark: SparkSession, d: str, size: int) -> DataFrame:
+def event_tiles(spark: SparkSession, d: str, size: int, bucket: int = subject.BUCKET) -> DataFrame:
     rows = table(spark, d, "events").withColumn("series", F.lit(0).cast("bigint"))
-    return subject.ordered_tiles(rows, "series", "event_id", "value", size)
+    return subject.ordered_tiles(rows, "series", "event_id", "value", size, bucket)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -295,12 +300,12 @@ def mini_dtw_soft(spark, d):
 
 @query
 def collinear_pairs(spark, d):
-    return ch.collinear_pairs(an.anchors(event_tiles(spark, d, 10), an.query_blocks(vectors(spark, d), 10), 10), 10).drop("subject_id")
+    return ch.collinear_pairs(an.anchors(event_tiles(spark, d, 10, 64), an.query_blocks(vectors(spark, d), 10), 10, bucket=64), 10).drop("subject_id")
 
 
 @query
 def chain_extents(spark, d):
-    found = an.anchors(event_tiles(spark, d, 10), an.query_blocks(vectors(spark, d), 10), 10)
+    found = an.anchors(event_tiles(spark, d, 10, 64), an.query_blocks(vectors(spark, d), 10), 10, bucket=64)
     return ch.chains(found, 10).drop("anchors", "dists")
 
 
@@ -355,12 +360,12 @@ def in_strand_average(spark, d):
 
 @query
 def in_strand_ranges(spark, d):
-    return states.state_ranges(table(spark, d, "events"), "user_id", ["event_id"], F.col("event_type") == "view", "event_id", F.max("event_id") + 1)
+    return states.state_ranges(table(spark, d, "events"), "user_id", ["event_id"], F.col("event_type") == "view", "event_id", F.max(F.col("event_id") + 1))
 
 
 @query
 def channel_parts(spark, d):
-    rows = items(spark, d, "m_channel_num").withColumn("part", channel_range("m_channel_num", 1, 512, 5))
+    rows = items(spark, d, "m_channel_num").withColumn("part", F.coalesce(channel_range("m_channel_num", 1, 512, 5), F.lit(-1)))
     return rows.groupBy("part").agg(F.count("*").alias("n"))
 
 
