@@ -50,7 +50,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_top(spark: SparkSession, d: str) -> DataFrame:
-    return topn.best_matches(table(spark, d, "algo_datatypes"))
+    return topn.best_matches(table(spark, d, "algo_datatypes")).drop("match_ordinal")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ BEST = """
 
 SQL: dict[str, str] = {
     "p5_found": f"select query_number, match_id from ({BEST}) where rank <= 5",
-    "p5_top": f"select query_number, match_id, p_value, match_ordinal, cast(rank as integer) as rank from ({BEST}) where rank <= 5",
+    "p5_top": f"select query_number, match_id, p_value, cast(rank as integer) as rank from ({BEST}) where rank <= 5",
     "p4_found": """
 with lists as (select 'wqueue' as tab, item_id, any_value(m_reads) as x from wqueue where len(m_reads) > 4096 group by item_id
                union all select 'cdtw', subject_id, sub from cdtw where len(sub) > 4096),
