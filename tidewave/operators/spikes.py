@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.session import checkpointed, one_row_per_key
+from tidewave.session import checkpointed, one_row_per_key, spread
 
 #: Channels the device has.
 CHANNELS = (1, 512)
@@ -243,7 +243,7 @@ def flagged(queue: DataFrame, channels: DataFrame, hour: Column | None = None) -
     real = rows.where(c.between(*CHANNELS))
     wrong = rows.where(c.isNotNull() & ~c.between(*CHANNELS)).select("item_id", F.lit(-1).cast("bigint").alias("first_sample"), F.lit(0).cast("bigint").alias("samples"), F.lit("channel").alias("kind"))
     clock = F.coalesce(F.hour("queued_at") if hour is None else hour, F.lit(0))
-    items = real.where(F.size("m_reads") > 0).select("item_id", c.alias("channel"), clock.alias("hour"), F.col("m_reads").alias("samples"))
+    items = spread(real.where(F.size("m_reads") > 0)).select("item_id", c.alias("channel"), clock.alias("hour"), F.col("m_reads").alias("samples"))
     usable = channels.where(F.col("m_channel_num").between(*CHANNELS) & (F.col("adc_max") > F.col("adc_min")))
     span = usable.groupBy(F.col("m_channel_num").alias("channel")).agg(F.min("adc_min").cast("double").alias("own_low"), F.max("adc_max").cast("double").alias("own_high"))
     widest = usable.agg(F.min("adc_min"), F.max("adc_max")).first()

@@ -340,6 +340,13 @@ def search_matches(spark, d):
     return search(*subjects_and_queries(spark, d), Settings(min_segment_query=6)).drop("anchors")
 
 
+@query
+def search_ranked(spark, d):
+    """The vectors searched in the subjects: every chain with its rank, however weak, in small buckets."""
+    subjects, _ = subjects_and_queries(spark, d)
+    return search(subjects, vectors(spark, d), Settings(max_p=1.0, bucket=64)).drop("anchors")
+
+
 @query
 def search_thorough(spark, d):
     return search(*subjects_and_queries(spark, d), Settings(min_segment_query=6, fast_background=False, warp=2, stride=4)).drop("anchors")

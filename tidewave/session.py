@@ -71,3 +71,12 @@ def one_row_per_key(df: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROW
     again = broadcast_if_small(again, again.count(), broadcast_rows)
     surplus = (F.col(key) == F.col("__key")) & (at != F.col("__at"))
     return placed.join(again, surplus, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many tasks as there are cores, where a scan of a small table would give fewer.
+
+    For work that is heavy for each row. Larger tables have more splits than cores and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
