@@ -84,8 +84,8 @@ def test_percentiles_within_one_percent(spark):
     rng = np.random.default_rng(2)
     rows = [(1 if i % 3 else None, i % 2, rng.normal(size=800).tolist()) for i in range(60)] + [(1, 0, [float("nan"), float("inf")]), (2, 0, []), (3, 0, None)]
     df = spark.createDataFrame(rows, "c long, d int, v array<double>")
-    days = quantiles.summaries(df, ["c", "d"], "v", 128)
-    got = {(r.c, r.percent): (r.value, r.n, r.rank_error) for r in quantiles.percentiles(quantiles.merged(days, ["c"], 128), ["c"]).collect()}
+    days = quantiles.summaries(df, ["c", "d"], "v")
+    got = {(r.c, r.percent): (r.value, r.n, r.rank_error) for r in quantiles.percentiles(quantiles.merged(days, ["c"]), ["c"]).collect()}
     for c in (1, None):
         x = np.sort(np.concatenate([r[2] for r in rows[:60] if r[0] == c]))
         for p in quantiles.PERCENTS:
