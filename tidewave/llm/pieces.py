@@ -60,57 +60,67 @@ def pack(nodes: list[tuple[int, int, list]], limit: int, overlap: int) -> list[t
 
 
 PARSED = "tab string, item_id bigint, n int, cuts array<int>, pieces array<struct<start:int,end:int,natural:boolean>>"
+PIECE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("natural", pa.bool_())]))
 
 
-def parse_lists(lists: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, gap: int = GAP) -> DataFrame:
-    """(tab, item_id, n, cuts, pieces) of each list of (tab, item_id, samples, marks) with more than `limit` samples.
+def list_gaps(lists: DataFrame, gap: int = GAP) -> DataFrame:
+    """(tab, item_id, n, gaps): length and ends of the long gaps of each list of (tab, item_id, samples), in one narrow pass."""
 
-    cuts are the first samples after natural boundaries: the `marks` inside the list and the ends of gaps (`gap` or more
-    missing samples, null or NaN, between present ones); a place that is both counts once. pieces are half-open ranges
-    of at most `limit` samples, all but the first beginning `overlap` samples before the end of the piece before; they
-    cover the list. Null and short lists give no row; a list of only missing samples is cut at the limit.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, off = b.column(2).values.to_numpy(zero_copy_only=False), b.column(2).offsets.to_numpy()
+            gaps = [gap_ends(np.isnan(x[s:e]), gap) for s, e in zip(off, off[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(off).astype(np.int32)), pa.array(gaps, pa.list_(pa.int32()))], ["tab", "item_id", "n", "gaps"])
+
+    return lists.select("tab", "item_id", "samples").mapInArrow(run, "tab string, item_id bigint, n int, gaps array<int>")
+
+
+def parsed(gaps: DataFrame, marks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(tab, item_id, n, cuts, pieces) of lists given by length and gaps, and by the `marks` (tab, item_id, marks) inside them.
+
+    cuts are the first samples after natural boundaries, marks and ends of gaps; a place that is both counts once. pieces are
+    half-open ranges of at most `limit` samples, all but the first beginning `overlap` samples before the end of the piece
+    before; they cover the list. A list of only missing samples is cut at the limit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tabs, items, cols, marks = b.column(0), b.column(1), b.column(2), b.column(3)
-            rows = []
-            for i in range(len(items)):
-                values = cols[i].values
-                x = values.to_numpy(zero_copy_only=False)
-                at = np.unique(np.asarray(marks[i].as_py() or [], np.int64))
-                at = at[(at > 0) & (at < len(x))]
-                gaps = gap_ends(np.isnan(x), gap)
-                kept = pack(tree(len(x), at, np.setdiff1d(gaps, at)), limit, overlap)
-                pieces = [{"start": max(0, s - overlap) if s else 0, "end": e, "natural": nat} for s, e, nat in kept]
-                rows.append((tabs[i].as_py(), items[i].as_py(), len(x), np.union1d(at, gaps).tolist(), pieces))
-            piece = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("natural", pa.bool_())]))
-            for part in [rows] if rows else []:
-                c = list(zip(*part))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.list_(pa.int32())), pa.array(c[4], piece)], ["tab", "item_id", "n", "cuts", "pieces"])
-
-    return lists.where(F.size("samples") > limit).select("tab", "item_id", "samples", "marks").mapInArrow(run, PARSED)
-
-
-def signal_lists(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(tab, item_id, samples, marks) of both tables' lists beyond `limit`.
-
-    A subject's marks are the distinct end_pos inside its list, so they are no more than its samples. They are grouped
-    after that filter and joined on subject_id; the signal queue has none.
+            cuts, pieces = [], []
+            for n, g, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                at, g = np.unique(np.asarray(m or [], np.int64)), np.asarray(g or [], np.int64)
+                kept = pack(tree(n, at, np.setdiff1d(g, at)), limit, overlap)
+                cuts.append(np.union1d(at, g).tolist())
+                pieces.append([{"start": max(0, s - overlap) if s else 0, "end": e, "natural": nat} for s, e, nat in kept])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cuts, pa.list_(pa.int32())), pa.array(pieces, PIECE)], ["tab", "item_id", "n", "cuts", "pieces"])
+
+    rows = gaps.join(marks, ["tab", "item_id"], "left")
+    return rows.select("tab", "item_id", "n", "gaps", "marks").mapInArrow(run, PARSED)
+
+
+def long_lists(wqueue: DataFrame, cdtw: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(tab, item_id, samples) of both tables' lists beyond `limit`; null and short lists, and null ids, give no row."""
+    queue = wqueue.where(F.size("m_reads") > limit).select(F.lit("wqueue").alias("tab"), "item_id", F.col("m_reads").alias("samples"))
+    subjects = cdtw.where(F.size("sub") > limit).select(F.lit("cdtw").alias("tab"), F.col("subject_id").alias("item_id"), F.col("sub").alias("samples"))
+    return queue.unionByName(subjects).where("item_id is not null")
+
+
+def parse_lists(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The structure and the pieces of every list beyond the limit, each id once.
+
+    The lists are read in place; what is shuffled is their gaps and the offsets. A subject's marks are the distinct end_pos
+    inside its list, so they are no more than its samples.
     """
-    none = F.lit(None).cast("array<bigint>")
-    queue = wqueue.where(F.size("m_reads") > limit).select(F.lit("wqueue").alias("tab"), "item_id", F.col("m_reads").alias("samples"), none.alias("marks"))
-    long = cdtw.where(F.size("sub") > limit)
-    inside = offsets.join(long.select("subject_id", F.size("sub").alias("__n")), "subject_id").where("end_pos > 0 and end_pos < __n").select("subject_id", "end_pos").distinct()
-    marks = inside.groupBy("subject_id").agg(F.collect_list("end_pos").alias("marks"))
-    subjects = long.select("subject_id", F.col("sub").alias("samples")).join(marks, "subject_id", "left")
-    return queue.unionByName(subjects.select(F.lit("cdtw").alias("tab"), F.col("subject_id").alias("item_id"), "samples", "marks"))
+    gaps = list_gaps(long_lists(wqueue, cdtw)).dropDuplicates(["tab", "item_id"])
+    lengths = gaps.where("tab = 'cdtw'").select(F.col("item_id").alias("subject_id"), F.col("n").alias("__n"))
+    inside = offsets.join(lengths, "subject_id").where("end_pos > 0 and end_pos < __n").select("subject_id", "end_pos").distinct()
+    marks = inside.groupBy(F.col("subject_id").alias("item_id")).agg(F.collect_list("end_pos").alias("marks")).withColumn("tab", F.lit("cdtw"))
+    return parsed(gaps, marks)
 
 
 def boundaries(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame) -> DataFrame:
     """Problem 4's cases: (tab, item_id, cut_at), once for each natural boundary inside a list beyond the limit."""
-    parsed = parse_lists(signal_lists(wqueue, cdtw, offsets))
-    return parsed.select("tab", "item_id", F.explode("cuts").alias("cut_at")).withColumn("cut_at", F.col("cut_at").cast("bigint")).distinct()
+    rows = parse_lists(wqueue, cdtw, offsets).select("tab", "item_id", F.explode("cuts").alias("cut_at"))
+    return rows.withColumn("cut_at", F.col("cut_at").cast("bigint"))
 
 
 def pieces(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -118,8 +128,7 @@ def pieces(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame) -> DataFrame:
 
     The samples are sliced from the list beside its parsed pieces, joined on (tab, item_id).
     """
-    lists = signal_lists(wqueue, cdtw, offsets).dropDuplicates(["tab", "item_id"])
-    parsed = parse_lists(lists).select("tab", "item_id", "pieces")
-    cut = lists.select("tab", "item_id", "samples").join(parsed, ["tab", "item_id"])
+    lists = long_lists(wqueue, cdtw).dropDuplicates(["tab", "item_id"])
+    cut = lists.join(parse_lists(wqueue, cdtw, offsets).select("tab", "item_id", "pieces"), ["tab", "item_id"])
     cut = cut.select("tab", "item_id", "samples", F.posexplode("pieces").alias("piece", "p"))
     return cut.select("tab", "item_id", "piece", "p.start", "p.end", "p.natural", F.slice("samples", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("samples"))
