@@ -159,7 +159,7 @@ def fit(table: pd.DataFrame, spread: float) -> tuple[float, float, int, float]:
             a, k = at[inside], n[inside]
             lo, hi = weighted_quantile(a, k, TAIL), weighted_quantile(a, k, 1 - TAIL)
             own = weighted_quantile(a, k, 0.99) - weighted_quantile(a, k, 0.01)
-            least = LEAST * (max(own, spread) if spread else own)
+            least = max(LEAST * max(own, spread), 1.0)
             up, down = a > hi, a < lo
             share = lambda side: k[side].sum() / k.sum()
             reach_up = tail_reach(a[up] - hi, k[up], share(up)) if up.any() else 0.0
@@ -233,7 +233,8 @@ def flagged(queue: DataFrame, channels: DataFrame, hour: Column | None = None) -
     LEAST of the spread beyond the threshold). Stuck is a rest longer than the channel's rests, whose lengths are taken
     as geometric, ever get at that risk. Items of a channel the device doesn't have give one row of first_sample -1 and kind
     'channel'; items of null channel, and null or empty lists, give none. Missing samples (null, NaN) are never bad and end
-    a stretch. An item whose channel has no row among `channels` is judged by the widest range given there.
+    a stretch. An item whose channel has no row among `channels` is judged by the widest range given there,
+    or by none if there is none.
 
     Scans: three passes over the lists, none of which shuffles them; what is shuffled is counts per channel. Everything that
     is broadcast has a row per channel and hour at most, of the device's 512 channels.
@@ -247,10 +248,11 @@ def flagged(queue: DataFrame, channels: DataFrame, hour: Column | None = None) -
     usable = channels.where(F.col("m_channel_num").between(*CHANNELS) & (F.col("adc_max") > F.col("adc_min")))
     span = usable.groupBy(F.col("m_channel_num").alias("channel")).agg(F.min("adc_min").cast("double").alias("own_low"), F.max("adc_max").cast("double").alias("own_high"))
     widest = usable.agg(F.min("adc_min"), F.max("adc_max")).first()
-    any_low, any_high = (-1e9, 1e9) if widest[0] is None else map(float, widest)
+    any_low, any_high = (float("-inf"), float("inf")) if widest[0] is None else map(float, widest)
+    step = 1.0 if widest[0] is None else (any_high - any_low) / STEPS
     level = checkpointed(levels(items))
     known = items.join(F.broadcast(level), ["channel", "hour"], "left").join(F.broadcast(span), "channel", "left")
-    known = known.select("item_id", "channel", F.coalesce("level", F.lit(0.0)).alias("level"), F.coalesce("own_low", F.lit(any_low)).alias("low"), F.coalesce("own_high", F.lit(any_high)).alias("high"), F.lit((any_high - any_low) / STEPS).alias("step"), "samples")
+    known = known.select("item_id", "channel", F.coalesce("level", F.lit(0.0)).alias("level"), F.coalesce("own_low", F.lit(any_low)).alias("low"), F.coalesce("own_high", F.lit(any_high)).alias("high"), F.lit(step).alias("step"), "samples")
     standard = cutoffs(checkpointed(tallies(known)), level)
     judged = known.join(F.broadcast(standard), "channel", "left").fillna({"lower": float("-inf"), "upper": float("inf"), "longest": STUCK_LEAST})
     return stretches(judged).unionByName(wrong)
