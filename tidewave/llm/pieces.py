@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.session import checkpointed
+
 LIMIT, OVERLAP, GAP = 4096, 64, 10
 
 
@@ -110,7 +112,7 @@ def parse_lists(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame) -> DataF
     The lists are read in place; what is shuffled is their gaps and the offsets. A subject's marks are the distinct end_pos
     inside its list, so they are no more than its samples.
     """
-    gaps = list_gaps(long_lists(wqueue, cdtw)).dropDuplicates(["tab", "item_id"])
+    gaps = checkpointed(list_gaps(long_lists(wqueue, cdtw)).dropDuplicates(["tab", "item_id"]))
     lengths = gaps.where("tab = 'cdtw'").select(F.col("item_id").alias("subject_id"), F.col("n").alias("__n"))
     inside = offsets.join(lengths, "subject_id").where("end_pos > 0 and end_pos < __n").select("subject_id", "end_pos").distinct()
     marks = inside.groupBy(F.col("subject_id").alias("item_id")).agg(F.collect_list("end_pos").alias("marks")).withColumn("tab", F.lit("cdtw"))
