@@ -9,7 +9,7 @@ from tidewave.session import checkpointed
 
 CAPACITY = 2048
 #: A size class that holds many of the items is numbered in so many parts.
-SALTS = 64
+SALTS = 16
 
 
 def numbered(df: DataFrame, group: str, key: str, out: str) -> DataFrame:
