@@ -76,7 +76,8 @@ def one_row_per_key(df: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROW
 def spread(df: DataFrame) -> DataFrame:
     """`df` over as many tasks as there are cores, where a scan of a small table would give fewer.
 
-    For work that is heavy for each row. Larger tables have more splits than cores and are not shuffled.
+    For work that is heavy for each row, over plans without a shuffle. Larger tables have more splits than cores and are not
+    shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
