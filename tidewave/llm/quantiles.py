@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.session import spread
+
 #: Tuples kept by a compression; each compression adds at most 1 / (2 * SIZE) of the count to the rank error.
 SIZE = 512
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
@@ -135,7 +137,7 @@ def summaries(df: DataFrame, keys: list[str], values: str, size: int = SIZE) ->
         if done:
             yield emit(done, types)
 
-    scanned = df.where(F.size(values) > 0).select(*keys, values).mapInArrow(scan, schema)
+    scanned = spread(df.where(F.size(values) > 0).select(*keys, values)).mapInArrow(scan, schema)
     return merged(scanned, keys, size)
 
 

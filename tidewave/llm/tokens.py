@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewave.session import spread
+
 #: Folder of the public vocabularies; a parameter everywhere.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -116,13 +118,13 @@ def encoder(folder: str, name: str) -> FragmentEncoder:
 
 
 def _names(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    return spread(df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")))
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """(key, ids): the token ids of each whole text, no special tokens; strings of special tokens are ordinary text.
 
-    One narrow pass without a shuffle. A null and an empty text give an empty list; repeated rows give repeated rows; an
+    One narrow pass, without a shuffle unless a small table has fewer splits than there are cores. A null and an empty text give an empty list; repeated rows give repeated rows; an
     empty table gives an empty one. A text of any length is encoded whole.
     """
     kind = df.schema[key].dataType

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.session import checkpointed
+from tidewave.session import checkpointed, spread
 
 #: Lengths of the final contexts in characters and in shapes, bits of each length's table of hashed contexts, and weight of
 #: the shorter context.
@@ -251,7 +251,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Texts of null source or language form groups of their own. Empty table: no rows.
     """
-    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.coalesce("source", F.lit("")).alias("source"), language(F.col("lang")).alias("lang")).where(F.col(text).rlike(r"\S"))
+    texts = spread(docs).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.coalesce("source", F.lit("")).alias("source"), language(F.col("lang")).alias("lang")).where(F.col(text).rlike(r"\S"))
     prof = checkpointed(profile(texts))
     rows = prof.join(F.broadcast(_limit_of(prof, "chars")), "source", "left").join(F.broadcast(_limit_of(prof, "bytes")), "source", "left")
     near = (F.col("chars") == F.col("chars_limit")) | ((F.col("bytes") <= F.col("bytes_limit")) & (F.col("bytes") > F.col("bytes_limit") - 4))
