@@ -20,8 +20,8 @@ ORDERS, SHAPES, BITS, BACKOFF = (2, 4, 7, 11, 16), (1, 2, 4, 6, 9), 20, 3.0
 TABLES = len(ORDERS) + len(SHAPES)
 #: Characters that the final contexts of a text may reach back.
 REACH = 400
-#: Positions hashed at once.
-WINDOW = 1 << 20
+#: Positions hashed at once, and positions of one table that wait to be counted together.
+WINDOW, SEEN = 1 << 20, 1 << 21
 #: A length is a source's limit if so many of its texts have it, at least this share, and hardly any text is longer.
 LIMIT_TEXTS, LIMIT_SHARE, BEYOND_SHARE = 5, 0.005, 0.005
 #: Marks that systems put in place of the rest.
@@ -65,14 +65,20 @@ def characters(text: str) -> np.ndarray:
     return np.frombuffer(text.replace("\r\n", "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def final_contexts(text: str) -> list[int]:
-    """Slots of the contexts at the text's end, those of characters first."""
+def final_contexts(texts: list[str]) -> np.ndarray:
+    """A row for each text: slots of the contexts at its end, those of characters first. Texts aren't empty."""
     gap = np.zeros(max(ORDERS), np.uint32)
-    raw = np.concatenate([gap, characters(text[-REACH:])])
-    out = [int(slot[-1]) + (o << BITS) for o, slot in contexts(CANONICAL[raw[-2 * len(gap) :]])]
-    seq, _ = shapes(raw[len(gap) :])
-    seq = np.concatenate([gap, seq])
-    return out + [int(slot[-1]) + (o + len(ORDERS) << BITS) for o, slot in contexts(seq[-2 * len(gap) :], SHAPES)]
+    tails = [characters(t[-REACH:]) for t in texts]
+    raw = np.concatenate([x for t in tails for x in (gap, t)])
+    ends = np.cumsum([len(gap) + len(t) for t in tails]) - 1
+    out = np.empty((len(texts), TABLES), np.int32)
+    for o, slot in contexts(CANONICAL[raw]):
+        out[:, o] = slot[ends] + (o << BITS)
+    seq, at = shapes(raw)
+    ends = np.searchsorted(at, ends, "right") - 1
+    for o, slot in contexts(seq, SHAPES):
+        out[:, o + len(ORDERS)] = slot[ends] + (o + len(ORDERS) << BITS)
+    return out
 
 
 def shapes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +133,16 @@ def profile(docs: DataFrame) -> DataFrame:
             keys, texts = b.column(0), b.column(1).to_pylist()
             rows = []
             for k, t in zip(keys.to_pylist(), texts):
-                m = _MARK.search(t)
+                m = _MARK.search(t, max(0, len(t) - 40))
                 body = t[: m.start()] if m else t
                 cut = 1 + zlib.crc32(str(k).encode()) % max(1, len(t) - 1)
-                rows.append((len(body), len(body.encode("utf-8", "surrogatepass")), m is not None, state(t), state(t[:cut]), final_contexts(t)))
-            c = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([keys, b.column(2), b.column(3), *(pa.array(x, t) for x, t in zip(c, [pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int32())]))], ["key", "source", "lang", "chars", "bytes", "marked", "state", "cut_state", "ctx"])
+                rows.append((len(body), len(body.encode("utf-8", "surrogatepass")), m is not None, state(t), state(t[:cut])))
+            c = list(zip(*rows)) if rows else [[]] * 5
+            ctx = [final_contexts(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]
+            ctx = np.concatenate(ctx) if ctx else np.zeros((0, TABLES), np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ctx) + 1, dtype=np.int32) * TABLES), pa.array(ctx.ravel()))
+            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([keys, b.column(2), b.column(3), *(pa.array(x, t) for x, t in zip(c, kinds)), lists], ["key", "source", "lang", "chars", "bytes", "marked", "state", "cut_state", "ctx"])
 
     return docs.select("key", "text", "source", "lang").mapInArrow(run, PROFILE)
 
@@ -151,6 +161,17 @@ def continued(docs: DataFrame, slots: list[np.ndarray]) -> DataFrame:
         most = max(ORDERS)
         gap = np.zeros(most, np.uint32)
 
+        seen: list[list] = [[] for _ in range(TABLES)]
+
+        def count(most: int) -> None:
+            """Adds what was seen to the tables, for those with more than `most` positions waiting."""
+            for o, held in enumerate(seen):
+                if sum(len(s) for s, _ in held) > most:
+                    slot = np.concatenate([s for s, _ in held])
+                    size = np.concatenate([w for _, w in held]) if o >= len(ORDERS) else None
+                    counts[o] += np.bincount(slot, weights=size, minlength=1 << BITS).astype(np.int64)
+                    held.clear()
+
         def add(parts: list[np.ndarray]) -> None:
             raw = np.concatenate([x for p in parts for x in (gap, p)])
             inner = np.ones(len(raw), bool)
@@ -163,14 +184,15 @@ def continued(docs: DataFrame, slots: list[np.ndarray]) -> DataFrame:
                 ok = inner[a : a + WINDOW]
                 for o, slot in contexts(CANONICAL[raw[lo : a + WINDOW]]):
                     slot = slot[a - lo :][ok]
-                    counts[o] += np.bincount(slot[wanted[o][slot]], minlength=1 << BITS)
+                    seen[o].append((slot[wanted[o][slot]], None))
                 lo = max(0, a - REACH)
                 seq, at = shapes(raw[lo : a + WINDOW])
                 size = np.add.reduceat(inner[lo : a + WINDOW] & (np.arange(lo, lo + len(raw[lo : a + WINDOW])) >= a), at)
                 for o, slot in contexts(seq, SHAPES):
                     o += len(ORDERS)
                     ok = wanted[o][slot] & (size > 0)
-                    counts[o] += np.bincount(slot[ok], weights=size[ok], minlength=1 << BITS).astype(np.int64)
+                    seen[o].append((slot[ok], size[ok]))
+                count(SEEN)
 
         parts: list[np.ndarray] = []
         size = 0
@@ -184,6 +206,7 @@ def continued(docs: DataFrame, slots: list[np.ndarray]) -> DataFrame:
                     parts, size = [], 0
         if parts:
             add(parts)
+        count(0)
         for o in range(TABLES):
             at = np.flatnonzero(counts[o])
             for i in range(0, len(at), 50_000):
