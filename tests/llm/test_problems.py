@@ -253,3 +253,21 @@ def test_queries_run_by_name():
     from tidewave.llm import queries
 
     assert {"p2_found", "p4_found", "p5_found", "p6_ids", "p8_found"} <= set(queries.QUERIES) and set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_clashing_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    extra = {c: F.lit("x") for c in ("key", "part", "same", "channel", "at", "state", "rank", "n", "v", "size", "__bucket", "__g", "ctx", "samples", "marks", "tab")}
+    x = [float(i % 7) for i in range(40)]
+    queue = spark.createDataFrame([(1, 5, T0, x), (2, 5, T0, x)], QUEUE).withColumns(extra)
+    assert [(r.first_item_id, r.last_item_id) for r in runs.runs(queue).collect()] == [(1, 2)]
+    assert quantiles.summaries(queue, ["m_channel_num"], "m_reads").first().n == 80
+    docs = spark.createDataFrame([(1, "One text.", "a", "en")], "doc_id long, text string, source string, lang string").withColumns(extra)
+    assert truncation.scored(docs).count() == 1 and len(tokens.encode_corpus(docs).first().ids) > 0
+    assert packing.pack(tokens.count_tokens(docs), "doc_id", "n_tokens").count() == 1
+    matches = spark.createDataFrame([(1, 1, 0.5, None)], "match_id long, query_number int, p_value float, match_ordinal int").withColumns(extra)
+    assert topn.best_matches(matches).count() == 1
+    cdtw = spark.createDataFrame([(1, [1.0] * 5000)], "subject_id long, sub array<float>").withColumns(extra)
+    offsets = spark.createDataFrame([(1, 100)], "subject_id long, end_pos long").withColumns(extra)
+    assert pieces.pieces(queue, cdtw, offsets).count() == 3
