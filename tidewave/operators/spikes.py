@@ -179,20 +179,24 @@ def fit(table: pd.DataFrame, spread: float) -> tuple[float, float, int, float]:
     return low, high, longest, own
 
 
+def fitted(tally: DataFrame, spread: float) -> DataFrame:
+    """(channel, lower, upper, longest, spread): `fit` of each channel's tallies, a few thousand rows at most."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(int(t["channel"].iloc[0]), *fit(t, spread))], columns=["channel", "lower", "upper", "longest", "spread"])
+
+    return tally.groupBy("channel").applyInPandas(run, "channel bigint, lower double, upper double, longest int, spread double")
+
+
 def cutoffs(tally: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(channel, lower, upper, longest): every channel's standard, a row for each of the device's channels at most.
+    """(channel, lower, upper, longest, spread): every channel's standard, a row for each of the device's channels at most.
 
-    First each channel by itself; then those of few items with the median spread of all as well.
+    First each channel by itself; then those of few items again, with the median spread of all as well.
     """
-    own = tally.groupBy("channel").applyInPandas(lambda t: pd.DataFrame([(int(t["channel"].iloc[0]), fit(t, 0.0)[3])], columns=["channel", "spread"]), "channel bigint, spread double")
+    own = checkpointed(fitted(tally, 0.0))
     typical = own.where("spread > 0").agg(F.percentile_approx("spread", 0.5, 1000)).first()[0] or 0.0
-    rows = tally.join(F.broadcast(sizes.groupBy("channel").agg(F.max("items").alias("items"))), "channel")
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        low, high, longest, _ = fit(t, typical if t["items"].iloc[0] < OWN_ITEMS else 0.0)
-        return pd.DataFrame([(int(t["channel"].iloc[0]), low, high, longest)], columns=["channel", "lower", "upper", "longest"])
-
-    return rows.groupBy("channel").applyInPandas(run, "channel bigint, lower double, upper double, longest int")
+    few = F.broadcast(sizes.groupBy("channel").agg(F.max("items").alias("items")).where(F.col("items") < OWN_ITEMS).select("channel"))
+    return own.join(few, "channel", "left_anti").unionByName(fitted(tally.join(few, "channel", "left_semi"), typical))
 
 
 def stretches(items: DataFrame) -> DataFrame:
