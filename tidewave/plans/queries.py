@@ -14,7 +14,7 @@ from tidewave.operators import chains as ch
 from tidewave.operators import decide, dtw, intervals, normalize, prefix, rank, ranksum, segment, spikes, states, subject
 from tidewave.plans import oracle
 from tidewave.plans.search import Settings, search
-from tidewave.session import checkpoint_folder, one_row_per_key, table
+from tidewave.session import checkpoint_folder, one_row_per_key, spread, table
 from tidewave.sources.stream import channel_range, chunk_stream
 from tidewave.streaming.online import in_strand, online_znorm
 
@@ -251,7 +251,7 @@ def rank_sum(spark, d):
 @query
 def kmer_index(spark, d):
     seq = en.clean_bases("text", rna=True)
-    rows = table(spark, d, "documents").where("text is not null").select("source", F.explode(en.kmer_indexes(seq, en.RNA)).alias("kmer"))
+    rows = spread(table(spark, d, "documents")).where("text is not null").select("source", F.explode(en.kmer_indexes(seq, en.RNA)).alias("kmer"))
     return rows.groupBy("source", "kmer").agg(F.count("*").alias("n"))
 
 
