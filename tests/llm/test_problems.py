@@ -249,6 +249,22 @@ def test_cut_off_small_tables(spark):
     assert truncation.scored(df.where("false")).count() == 0
 
 
+def test_contexts_share_no_counts(spark):
+    rng = random.Random(1)
+    texts = list({"".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(20_000)})
+    ctx = truncation.final_contexts(texts)
+    for o, n in enumerate(truncation.ORDERS):
+        assert len(set(ctx[:, o].tolist())) == len({t[-n:] for t in texts})
+    texts = texts[:300] + ["ab" * 40, "aab" * 40, "x"]
+    ctx = truncation.final_contexts(texts)
+    ends = spark.createDataFrame([(c,) for c in {int(c) for c in ctx.ravel()}], "ctx long")
+    got = {r.ctx: r.n for r in truncation.continued(spark.createDataFrame([(t,) for t in texts], "text string"), ends).collect()}
+    assert len(got) == ends.count()
+    for i, t in enumerate(texts[:-1]):
+        for o, n in enumerate(truncation.ORDERS):
+            assert got[ctx[i, o]] == sum(x[:-1].startswith(t[-n:], j) for x in texts for j in range(len(x)))
+
+
 def test_queries_run_by_name():
     from tidewave.llm import queries
 

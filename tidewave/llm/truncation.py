@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 from tidewave.session import checkpointed, spread
 
-#: Lengths of the final contexts in characters and in shapes, bits of each length's table of hashed contexts, and weight of
-#: the shorter context.
-ORDERS, SHAPES, BITS, BACKOFF = (2, 4, 7, 11, 16), (1, 2, 4, 6, 9), 20, 3.0
+#: Lengths of the final contexts in characters and in shapes, and weight of the shorter context.
+ORDERS, SHAPES, BACKOFF = (2, 4, 7, 11, 16), (1, 2, 4, 6, 9), 3.0
 TABLES = len(ORDERS) + len(SHAPES)
 #: Characters that the final contexts of a text may reach back.
 REACH = 400
-#: Positions hashed at once, and positions of one table that wait to be counted together.
-WINDOW, SEEN = 1 << 20, 1 << 21
+#: Positions hashed at once, contexts that wait to be counted together, and counted ones that a task holds before it gives them out.
+WINDOW, SEEN, HELD = 1 << 20, 1 << 22, 1 << 22
+#: Bits of the filter of wanted contexts: at least, for each context, and at most. It only spares the shuffle what is surely
+#: not wanted, so at the most it lets more pass, and counts stay exact.
+FILTER_LEAST, FILTER_EACH, FILTER_MOST = 1 << 20, 16, 1 << 30
+#: Bits that the filter is built by at a time.
+FILTER_BLOCK = 1 << 20
 #: A length is a source's limit if so many of its texts have it, at least this share, and hardly any text is longer.
 LIMIT_TEXTS, LIMIT_SHARE, BEYOND_SHARE = 5, 0.005, 0.005
 #: Marks that systems put in place of the rest.
@@ -66,18 +70,18 @@ def characters(text: str) -> np.ndarray:
 
 
 def final_contexts(texts: list[str]) -> np.ndarray:
-    """A row for each text: slots of the contexts at its end, those of characters first. Texts aren't empty."""
+    """A row for each text: hashes of the contexts at its end, those of characters first. Texts aren't empty."""
     gap = np.zeros(max(ORDERS), np.uint32)
     tails = [characters(t[-REACH:]) for t in texts]
     raw = np.concatenate([x for t in tails for x in (gap, t)])
     ends = np.cumsum([len(gap) + len(t) for t in tails]) - 1
-    out = np.empty((len(texts), TABLES), np.int32)
-    for o, slot in contexts(CANONICAL[raw]):
-        out[:, o] = slot[ends] + (o << BITS)
+    out = np.empty((len(texts), TABLES), np.int64)
+    for o, h in contexts(CANONICAL[raw]):
+        out[:, o] = h[ends]
     seq, at = shapes(raw)
     ends = np.searchsorted(at, ends, "right") - 1
-    for o, slot in contexts(seq, SHAPES):
-        out[:, o + len(ORDERS)] = slot[ends] + (o + len(ORDERS) << BITS)
+    for o, h in contexts(seq, SHAPES, len(ORDERS)):
+        out[:, o] = h[ends]
     return out
 
 
@@ -91,14 +95,19 @@ def shapes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(kind[at] > 0, kind[at], codes[at]), at
 
 
-def contexts(codes: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[int, np.ndarray]]:
-    """(place in `orders`, table slots) of the contexts that end at each position, read backward."""
+def contexts(codes: np.ndarray, orders: tuple[int, ...] = ORDERS, first: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the order, from `first`, 64-bit hashes) of the contexts that end at each position, read backward.
+
+    Contexts of different orders have different hashes.
+    """
     c = codes.astype(np.uint64) + np.uint64(1)
     h = np.zeros(len(c), np.uint64)
     for k in range(max(orders)):
         h[k:] += c[: len(c) - k] * _STEPS[k]
         if k + 1 in orders:
-            yield orders.index(k + 1), ((h * _MIX) >> np.uint64(64 - BITS)).astype(np.int64)
+            o = first + orders.index(k + 1)
+            x = (h + np.uint64((o + 1) * 0xA24BAED4963EE407 % (1 << 64))) * _MIX
+            yield o, ((x ^ (x >> np.uint64(32))) * _MIX).view(np.int64)
 
 
 def state(text: str) -> str:
@@ -119,11 +128,11 @@ def state(text: str) -> str:
     return "+".join(out) or "plain"
 
 
-PROFILE = "key bigint, source string, lang string, chars int, bytes int, marked boolean, state string, cut_state string, ctx array<int>"
+PROFILE = "key bigint, source string, lang string, chars int, bytes int, marked boolean, state string, cut_state string, ctx array<bigint>"
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """One narrow row for each text: lengths without a final mark, structure, and slots of its final contexts.
+    """One narrow row for each text: lengths without a final mark, structure, and hashes of its final contexts.
 
     cut_state is the structure that the same text would show when cut at one place fixed by its key.
     """
@@ -139,7 +148,7 @@ def profile(docs: DataFrame) -> DataFrame:
                 rows.append((len(body), len(body.encode("utf-8", "surrogatepass")), m is not None, state(t), state(t[:cut])))
             c = list(zip(*rows)) if rows else [[]] * 5
             ctx = [final_contexts(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]
-            ctx = np.concatenate(ctx) if ctx else np.zeros((0, TABLES), np.int32)
+            ctx = np.concatenate(ctx) if ctx else np.zeros((0, TABLES), np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ctx) + 1, dtype=np.int32) * TABLES), pa.array(ctx.ravel()))
             kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([keys, b.column(2), b.column(3), *(pa.array(x, t) for x, t in zip(c, kinds)), lists], ["key", "source", "lang", "chars", "bytes", "marked", "state", "cut_state", "ctx"])
@@ -147,32 +156,82 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text", "source", "lang").mapInArrow(run, PROFILE)
 
 
-def continued(docs: DataFrame, slots: list[np.ndarray]) -> DataFrame:
-    """(ctx, n): how often each context of `slots` stands inside a text, followed by more; every position of every text counts.
+def filter_bits(ctx: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each context in a filter of `bits` bits, a power of two."""
+    n = bits.bit_length() - 1
+    x = ctx.view(np.uint64)
+    return (x >> np.uint64(64 - n)).astype(np.int64), (x & np.uint64(bits - 1)).astype(np.int64)
+
+
+def wanted(ends: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of `bits` bits with the two places of every ctx of `ends`; built in blocks by the tasks."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(filter_bits(b.column(0).to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at // FILTER_BLOCK).astype(np.int32)), pa.array((at % FILTER_BLOCK).astype(np.int32))], ["block", "at"])
+
+    def packed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(FILTER_BLOCK, bool)
+        for b in batches:
+            held[b.column("at").to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()])], ["block", "held"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    blocks = ends.select("ctx").mapInArrow(places, "block int, at int").groupBy("block").applyInArrow(packed, "block int, held binary")
+    for r in blocks.toLocalIterator():
+        a = r["block"] * FILTER_BLOCK // 8
+        out[a : a + FILTER_BLOCK // 8] = np.frombuffer(r["held"], np.uint8)
+    return out
+
+
+def totals(ctx: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ctx, sum of n)."""
+    by = np.argsort(ctx)
+    ctx, n = ctx[by], n[by]
+    at = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, np.int64)
+    return ctx[at], np.add.reduceat(n, at) if len(at) else n
+
 
-    `slots` are bitmaps of fixed size (2**BITS bits an order), so what a task holds doesn't grow with the data.
+def continued(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(ctx, n): how often each ctx of `ends` (distinct) stands inside a text, followed by more; every position of every text counts.
+
+    A filter sized from the counted ends keeps what surely isn't wanted from the shuffle; what passes is summed in the tasks,
+    which hold a fixed number of contexts, and joined by its whole hash. Contexts that stand nowhere have 0.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast([np.packbits(s) for s in slots])
+    bits = max(FILTER_LEAST, min(FILTER_MOST, 1 << (FILTER_EACH * ends.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted(ends, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = [np.unpackbits(s, count=1 << BITS).astype(bool) for s in shared.value]
-        counts = np.zeros((TABLES, 1 << BITS), np.int64)
+        held_bits = shared.value
         most = max(ORDERS)
         gap = np.zeros(most, np.uint32)
-
-        seen: list[list] = [[] for _ in range(TABLES)]
-
-        def count(most: int) -> None:
-            """Adds what was seen to the tables, for those with more than `most` positions waiting."""
-            for o, held in enumerate(seen):
-                if sum(len(s) for s, _ in held) > most:
-                    slot = np.concatenate([s for s, _ in held])
-                    size = np.concatenate([w for _, w in held]) if o >= len(ORDERS) else None
-                    counts[o] += np.bincount(slot, weights=size, minlength=1 << BITS).astype(np.int64)
-                    held.clear()
-
-        def add(parts: list[np.ndarray]) -> None:
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def passing(h: np.ndarray, n: np.ndarray | None = None) -> None:
+            for k in (0, 1):
+                at = filter_bits(h, bits)[k]
+                ok = (held_bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                h, n = h[ok], None if n is None else n[ok]
+            if n is None:
+                h, n = np.unique(h, return_counts=True)
+            else:
+                h, n = totals(h, n.astype(np.int64))
+            seen.append((h, n))
+
+        def merge(most_seen: int, most_counted: int) -> Iterator[pa.RecordBatch]:
+            if sum(len(h) for h, _ in seen) > most_seen:
+                both = [*counted, *seen]
+                counted[:] = [totals(np.concatenate([h for h, _ in both]), np.concatenate([n for _, n in both]))]
+                seen.clear()
+            if sum(len(h) for h, _ in counted) > most_counted:
+                for h, n in counted:
+                    for i in range(0, len(h), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000]), pa.array(n[i : i + 50_000])], ["ctx", "n"])
+                counted.clear()
+
+        def add(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             raw = np.concatenate([x for p in parts for x in (gap, p)])
             inner = np.ones(len(raw), bool)
             ends = np.cumsum([most + len(p) for p in parts])
@@ -182,17 +241,15 @@ def continued(docs: DataFrame, slots: list[np.ndarray]) -> DataFrame:
             for a in range(0, len(raw), WINDOW):
                 lo = max(0, a - most)
                 ok = inner[a : a + WINDOW]
-                for o, slot in contexts(CANONICAL[raw[lo : a + WINDOW]]):
-                    slot = slot[a - lo :][ok]
-                    seen[o].append((slot[wanted[o][slot]], None))
+                for _, h in contexts(CANONICAL[raw[lo : a + WINDOW]]):
+                    passing(h[a - lo :][ok])
                 lo = max(0, a - REACH)
                 seq, at = shapes(raw[lo : a + WINDOW])
-                size = np.add.reduceat(inner[lo : a + WINDOW] & (np.arange(lo, lo + len(raw[lo : a + WINDOW])) >= a), at)
-                for o, slot in contexts(seq, SHAPES):
-                    o += len(ORDERS)
-                    ok = wanted[o][slot] & (size > 0)
-                    seen[o].append((slot[ok], size[ok]))
-                count(SEEN)
+                size = np.add.reduceat(inner[lo : a + WINDOW] & (np.arange(lo, lo + len(raw[lo : a + WINDOW])) >= a), at, dtype=np.int64)
+                ok = size > 0
+                for _, h in contexts(seq, SHAPES, len(ORDERS)):
+                    passing(h[ok], size[ok])
+                yield from merge(SEEN, HELD)
 
         parts: list[np.ndarray] = []
         size = 0
@@ -202,18 +259,14 @@ def continued(docs: DataFrame, slots: list[np.ndarray]) -> DataFrame:
                 parts.append(p)
                 size += len(p)
                 if size >= WINDOW - max(ORDERS) * 1024:
-                    add(parts)
+                    yield from add(parts)
                     parts, size = [], 0
         if parts:
-            add(parts)
-        count(0)
-        for o in range(TABLES):
-            at = np.flatnonzero(counts[o])
-            for i in range(0, len(at), 50_000):
-                j = at[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array((j + (o << BITS)).astype(np.int32)), pa.array(counts[o][j])], ["ctx", "n"])
+            yield from add(parts)
+        yield from merge(0, 0)
 
-    return docs.select("text").mapInArrow(run, "ctx int, n bigint").groupBy("ctx").agg(F.sum("n").alias("n"))
+    inner = docs.select("text").mapInArrow(run, "ctx bigint, n bigint").groupBy("ctx").agg(F.sum("n").alias("n"))
+    return ends.select("ctx").join(inner, "ctx", "left").select("ctx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -283,11 +336,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     alike = ["chars", "bytes", "state", "ctx"]
     distinct = prof.dropDuplicates(alike)
     ends = checkpointed(distinct.select(F.explode("ctx").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("e")))
-    slots = [np.zeros(1 << BITS, bool) for _ in range(TABLES)]
-    for r in ends.groupBy(F.expr("ctx div 32768").alias("block")).agg(F.collect_set(F.col("ctx") % 32768).alias("at")).toLocalIterator():
-        o, base = divmod(int(r["block"]) * 32768, 1 << BITS)
-        slots[o][base + np.array(r["at"])] = True
-    inside = checkpointed(ends.select("ctx").join(continued(texts, slots), "ctx", "left").select("ctx", F.coalesce("n", F.lit(0)).alias("n")))
+    inside = checkpointed(continued(texts, ends))
     total = distinct.agg(F.count("*").alias("e"), F.sum("chars").alias("n")).first()
     base = min(0.5, ((total["e"] or 0) + 1) / ((total["n"] or 0) + 2))
     first = judged(prof, ends.join(inside, "ctx"), base, F.lit(True))
