@@ -267,6 +267,38 @@ def test_stream_state_and_decisions(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "decided")).count() == 3
 
 
+def test_channel_states_merge_in_the_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, 7 if i % 3 else i % 5, (1e5 + rng.normal(size=20)).tolist()) for i in range(600)] + [(600, 7, None), (601, 7, []), (602, 9, None), (603, 7, [float("nan"), 2e6, None])]
+    spark.createDataFrame(rows, "item_id long, channel int, samples array<double>").repartition(4).write.parquet(str(tmp_path / "in"))
+    s = chunk_stream(spark, str(tmp_path / "in"), "item_id long, channel int, samples array<double>", files_per_batch=2)
+    folded = online.chunk_states(s, "samples", 1e6)
+    assert folded.columns == ["item_id", "channel", "n", "mean", "ssq"]
+    out = online.channel_states(folded, "channel")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    last = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        last[r.channel] = max(last.get(r.channel, (-1,)), (r.n, r.mean, r.ssq))
+    for c in {r[1] for r in rows}:
+        x = np.array([v for r in rows if r[1] == c for v in r[2] or [] if v is not None and abs(v) < 1e6])
+        n, mean, ssq = last[c]
+        assert n == len(x)
+        assert not n or mean == pytest.approx(x.mean(), rel=1e-12) and ssq == pytest.approx(((x - x.mean()) ** 2).sum(), rel=1e-9)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_channel_state_of_a_folder(spark, tmp_path, files):
+    from tidewave.plans.queries import stream_channel_state
+
+    schema = "item_id bigint, m_channel_num bigint, m_reads array<float>, queued_at timestamp_ntz"
+    rows = spark.createDataFrame([(i % 20, 1 + i % 20 % 2, [float(i % 20), 2.0], None) for i in range(40)], schema)
+    at = tmp_path / "wqueue.parquet"
+    rows.repartition(files).write.parquet(str(at if files > 1 else tmp_path / "other"))
+    if files == 1:
+        next((tmp_path / "other").glob("*.parquet")).rename(at)
+    assert {r.channel: (r.n, r.mean) for r in stream_channel_state(spark, str(tmp_path)).collect()} == {1: (20, 5.5), 2: (20, 6.0)}
+
+
 def test_one_row_per_key(spark, tmp_path):
     rows = [(1, "a"), (1, "a"), (2, "b"), (None, "n"), (None, "n")]
     df = spark.createDataFrame(rows, "id long, x string")

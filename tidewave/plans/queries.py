@@ -16,7 +16,7 @@ from tidewave.plans import oracle
 from tidewave.plans.search import Settings, search
 from tidewave.session import checkpoint_folder, one_row_per_key, spread, table
 from tidewave.sources.stream import channel_range, chunk_stream
-from tidewave.streaming.online import in_strand, online_znorm
+from tidewave.streaming.online import channel_states, chunk_states, in_strand
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,15 +379,17 @@ def channel_parts(spark, d):
 @query
 def stream_channel_state(spark, d):
     """The running state of each channel after the whole queue went through the stream."""
-    return stream_state(spark, d).select("channel", "n", "mean", "ssq")
+    return stream_state(spark, d)
 
 
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4()}"
     chunk = "item_id bigint, m_channel_num bigint, m_reads array<float>, queued_at timestamp_ntz"
-    source = chunk_stream(spark, d, chunk, "wqueue.parquet").where("m_channel_num between 1 and 512").dropDuplicates(["item_id"])
-    source = source.select("item_id", F.col("m_channel_num").alias("channel"), F.filter("m_reads", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("samples"))
-    out = online_znorm(source, "channel", ["item_id"], "samples").select("item_id", "channel", "n", "mean", "ssq")
+    # a glob, so that the table may be one file or a folder of them
+    source = chunk_stream(spark, f"{d}/wqueue.parque[t]", chunk).where("m_channel_num between 1 and 512")
+    # the samples are folded where they are read: only states are shuffled, for the duplicates and for the channels
+    chunks = chunk_states(source.select("item_id", F.col("m_channel_num").alias("channel"), F.col("m_reads").alias("samples")), "samples", 1e6)
+    out = channel_states(chunks.dropDuplicates(["item_id"]), "channel")
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
     last = rows.groupBy("channel").agg(F.max(F.struct("n", "mean", "ssq")).alias("s"))
