@@ -317,10 +317,8 @@ def dtw_pairs(spark, d):
 
 @query
 def nearest_window(spark, d):
-    query_ = [float(x) for x in table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]]
-    import numpy as np
-
-    return rounded(dtw.nearest_windows(subject.tiles(table(spark, d, "cdtw"), "subject_id", "sub", len(query_)), np.array(query_)), "dist")
+    subjects = table(spark, d, "cdtw")
+    return rounded(dtw.nearest_windows_to_all(lambda size: subject.tiles(subjects, "subject_id", "sub", size), vectors(spark, d)), "dist")
 
 
 @query
