@@ -347,7 +347,7 @@ def search_ranked(spark, d):
 
 @query
 def search_thorough(spark, d):
-    return search(*subjects_and_queries(spark, d), Settings(min_segment_query=6, fast_background=False, warp=2, stride=4)).drop("anchors")
+    return search(*subjects_and_queries(spark, d), Settings(min_segment_query=6, fast_background=False, warp=2)).drop("anchors")
 
 
 # streams
