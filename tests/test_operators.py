@@ -299,6 +299,19 @@ def test_stream_channel_state_of_a_folder(spark, tmp_path, files):
     assert {r.channel: (r.n, r.mean) for r in stream_channel_state(spark, str(tmp_path)).collect()} == {1: (20, 5.5), 2: (20, 6.0)}
 
 
+def test_overlaps_of_any_name_count_short_intervals(spark, monkeypatch):
+    from tidewave.plans import queries
+
+    rng = np.random.default_rng(12)
+    made = lambda k, longest: [(i, f"s{i % 3}", int(a), int(a + rng.integers(0, longest))) for i, a in enumerate(rng.integers(0, 20_000, k))]
+    found, beds = made(60, 300), made(40, 5000) + [(40 + i, "t", x, x) for i, x in enumerate(range(0, 20_000, 97))]
+    monkeypatch.setattr(queries, "located", lambda *a: spark.createDataFrame(found, "match_id long, name string, start long, stop long"))
+    monkeypatch.setattr(queries, "bed", lambda *a: spark.createDataFrame([r[1:] for r in beds], "name string, start long, stop long"))
+    want = {m: sum(c <= b and d >= a for _, _, c, d in beds) for m, _, a, b in found}
+    got = {r.match_id: r.n for r in queries.interval_overlap_any_name_all(spark, "").collect()}
+    assert got == {m: n for m, n in want.items() if n}
+
+
 def test_one_row_per_key(spark, tmp_path):
     rows = [(1, "a"), (1, "a"), (2, "b"), (None, "n"), (None, "n")]
     df = spark.createDataFrame(rows, "id long, x string")
