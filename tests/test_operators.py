@@ -224,6 +224,26 @@ def test_fast5_layouts():
     assert fast5.is_bulk(bulk) and list(fast5.bulk_reads(bulk, fast5.ReadsPartition("", "Channel_1", 1, 9))) == [("Channel_1_1_3", [5.0, 6.0])]
 
 
+def test_fast5_names_without_samples():
+    class Signal(list):
+        def __getitem__(self, at):
+            raise AssertionError("samples are read")
+
+    signal = {"Signal": Signal([1, 2])}
+    assert list(fast5.single_and_multi_reads({"read_a": {"Raw": signal}, "read_b": {"Raw": signal}, "read_c": {"Raw": {"Signal": []}}}, True)) == [("read_a", None), ("read_b", None)]
+    assert list(fast5.bulk_reads({"Raw": {"Channel_1": signal}}, fast5.ReadsPartition("", "Channel_1"), True)) == [("Channel_1_0_2", None)]
+
+
+def test_count_records_of_fast5_and_other_endings(spark, tmp_path, monkeypatch):
+    source = type("Loaded", (), {"format": lambda s, f: s, "option": lambda s, k, v: s, "load": lambda s, p: spark.range(3).selectExpr("string(id) as name")})()
+    monkeypatch.setattr(fast5, "register", lambda s: "fast5")
+    assert readers.count_records(type("Session", (), {"read": source})(), "a.fast5") == 3
+    for name in ("a.bin", "a.txt", "a"):
+        (tmp_path / name).write_text("1\n2\n")
+        with pytest.raises(ValueError):
+            readers.count_records(spark, str(tmp_path / name))
+
+
 def test_state_ranges(spark):
     from pyspark.sql import functions as F
 

@@ -26,12 +26,13 @@ class ReadsPartition(InputPartition):
 class Fast5Reader(DataSourceReader):
     """One partition per file, or per (file, channel, range) of a bulk file.
 
-    Options: path (file or folder), start and end (samples of a bulk channel). Reads without a name, samples or access are
-    skipped.
+    Options: path (file or folder), start and end (samples of a bulk channel), names (true: null values, no samples are read).
+    Reads without a name, samples or access are skipped.
     """
 
     def __init__(self, options: dict):
         self.path, self.start, self.end = Path(options["path"].removeprefix("file:")), int(options.get("start", 0)), options.get("end")
+        self.names = options.get("names", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         files = sorted(self.path.glob("*.fast5")) if self.path.is_dir() else [self.path]
@@ -46,7 +47,7 @@ class Fast5Reader(DataSourceReader):
 
     def read(self, partition: ReadsPartition) -> Iterator[tuple]:
         with h5py().File(partition.path, "r") as h:
-            yield from bulk_reads(h, partition) if partition.channel else single_and_multi_reads(h)
+            yield from bulk_reads(h, partition, self.names) if partition.channel else single_and_multi_reads(h, self.names)
 
 
 def is_bulk(h) -> bool:
@@ -54,18 +55,18 @@ def is_bulk(h) -> bool:
     return "Raw" in h and "Channel_1" in h["Raw"]
 
 
-def single_and_multi_reads(h) -> Iterator[tuple]:
+def single_and_multi_reads(h, names: bool = False) -> Iterator[tuple]:
     groups = [(n, g) for n, g in h["Raw/Reads"].items()] if "Raw" in h and "Reads" in h["Raw"] else [(n, g["Raw"]) for n, g in h.items() if n.lower().startswith("read_") and "Raw" in g]
     for name, g in groups:
         if "Signal" in g and len(g["Signal"]):
-            yield name, [float(x) for x in g["Signal"][:]]
+            yield name, None if names else [float(x) for x in g["Signal"][:]]
 
 
-def bulk_reads(h, p: ReadsPartition) -> Iterator[tuple]:
+def bulk_reads(h, p: ReadsPartition, names: bool = False) -> Iterator[tuple]:
     signal = h["Raw"][p.channel]["Signal"]
     end = len(signal) if p.end is None else min(p.end, len(signal))
     if end > p.start:
-        yield f"{p.channel}_{p.start}_{end}", [float(x) for x in signal[p.start : end]]
+        yield f"{p.channel}_{p.start}_{end}", None if names else [float(x) for x in signal[p.start : end]]
 
 
 class Fast5Source(DataSource):

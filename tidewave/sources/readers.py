@@ -116,9 +116,15 @@ def read_series(spark: SparkSession, path: str, encode=None) -> DataFrame:
 
 
 def count_records(spark: SparkSession, path: str) -> int:
-    """Sequences in a FASTA (headers) or TSV (lines) file, without building them."""
-    lines = spark.read.text(path)
-    return lines.where(F.col("value").startswith(">") if path.endswith(".fna") else F.trim("value") != "").count()
+    """Sequences in a FASTA (headers) or TSV (lines) file, or reads in FAST5 files, without building them."""
+    ending = path[path.rfind(".") :].rstrip("}*/")
+    if ending == ".fast5":
+        from tidewave.sources.fast5 import register
+
+        return spark.read.format(register(spark)).option("names", "true").load(path).select("name").count()
+    if ending not in (".fna", ".tsv"):
+        raise ValueError(f"no count of records for {path}")
+    return spark.read.text(path).where(F.col("value").startswith(">") if ending == ".fna" else F.trim("value") != "").count()
 
 
 def decode_samples(raw: str | F.Column, dtype: str = "<i2") -> F.Column:
