@@ -63,9 +63,54 @@ def test_empty_and_unknown(spark):
     assert [(r.item_id, r.first_sample) for r in spikes.flagged(one, channels).collect()] == [(1, 300)]
 
 
-def test_tail_reach_grows_with_the_tail():
-    rng = np.random.default_rng(1)
-    at = np.arange(1.0, 200.0)
-    light = np.histogram(rng.exponential(5, 20000), bins=np.arange(0.5, 200))[0].astype(float)
-    heavy = np.histogram(rng.exponential(15, 20000), bins=np.arange(0.5, 200))[0].astype(float)
-    assert 0 < spikes.tail_reach(at[: len(light)], light, 0.02) < spikes.tail_reach(at[: len(heavy)], heavy, 0.02)
+def tally(rng, items=60, n=500, **signal_options):
+    import pandas as pd
+
+    rows = []
+    for _ in range(items):
+        x = signal(rng, n, **signal_options) - 420
+        peaks = np.resize(x, (n // spikes.BLOCK, spikes.BLOCK))
+        for what, at in (("r", x), ("u", peaks.max(1)), ("l", peaks.min(1)), ("s", spikes.rests(x)[2])):
+            rows.append(pd.DataFrame({"channel": 7, "what": what, "at": at.astype(int), "n": 1}))
+    return pd.concat(rows).groupby(["channel", "what", "at"], as_index=False).sum()
+
+
+DEVICE = {"u": (0.0, 0.05), "l": (0.0, 0.05), "s": (0.0, 0.2)}
+
+
+def test_the_tail_fit_decides(monkeypatch):
+    rng = np.random.default_rng(3)
+    t = tally(rng)
+    later = np.concatenate([signal(rng, 500) - 420 for _ in range(400)])
+    low, high, longest = spikes.fit(t, DEVICE)
+    assert not ((later < low) | (later > high)).any() and high < 400 and low > -400 and 8 < longest < 25
+    wide = spikes.fit(tally(np.random.default_rng(3), low=200, high=700), DEVICE)
+    assert wide[1] > high + 50 and wide[0] < low - 50
+    monkeypatch.setattr(spikes, "tail_reach", lambda *_: 0.0)
+    monkeypatch.setattr(spikes, "rest_reach", lambda *_: 0.0)
+    low, high, longest = spikes.fit(t, DEVICE)
+    assert ((later < low) | (later > high)).sum() > 100 and longest < 5
+
+
+def test_l_moments_equal_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.integers(1, 30, 400).astype(float)
+    v, n = np.unique(x, return_counts=True)
+    many, mean, second = spikes.l_moments(v, n.astype(float))
+    pairs = np.abs(x[:, None] - x[None, :])
+    assert many == 400 and mean == pytest.approx(x.mean()) and second == pytest.approx(pairs.sum() / (400 * 399) / 2)
+    assert spikes.l_moments(v[:0], n[:0].astype(float)) == (0.0, 0.0, 0.0)
+
+
+def test_shape_must_be_stable():
+    assert spikes.stable_shape([-0.9, -0.7, -0.5], 1e9) == 0.0
+    assert spikes.stable_shape([-0.3, -0.31, -0.3], 1e9) == pytest.approx(-0.3)
+    assert 0 < spikes.stable_shape([0.02, 0.03, 0.05], 500.0) < 0.05
+    assert spikes.tail_reach(5.0, -0.3, 0.02) < spikes.tail_reach(5.0, 0.0, 0.02) < spikes.tail_reach(5.0, 0.1, 0.02) < spikes.tail_reach(15.0, 0.1, 0.02)
+
+
+def test_rests_end_at_the_edges_of_lists():
+    x = np.full(40, 5.0)
+    begin, end, n = spikes.rests(x, np.repeat([0, 1], 20))
+    assert sorted({(int(a), int(b), int(k)) for a, b, k in zip(begin, end, n)}) == [(0, 20, 20), (20, 40, 20)]
+    assert list(spikes.portions(np.array([0, 5, 5, 3 << 20, (3 << 20) + 7]))) == [(0, 2), (2, 3), (3, 4)]
