@@ -62,6 +62,25 @@ def test_runs_equal_brute_force(spark):
     assert runs.runs(df.where("false")).count() == 0
 
 
+def test_events_recur_and_the_difference_tells_runs_apart(spark):
+    rng = np.random.default_rng(3)
+    a, b = ((rng.integers(200, 900, 60) * 1.0).tolist() for _ in range(2))
+    row = lambda i, x: (i, 7, T0 + dt.timedelta(seconds=i), x)
+    signals = [a, a, b, a, a, a, b, b, [], []]
+    for parts in (1, 4):
+        df = spark.createDataFrame([row(i, x) for i, x in enumerate(signals)], QUEUE).repartition(parts)
+        events = {r.item_id: r.event for r in runs.canonical(runs.linked(df)).collect()}
+        assert events[0] == events[1] == events[3] == events[5] != events[2] == events[6] and events[8] != events[9]
+        assert sorted((r.first_item_id, r.last_item_id) for r in runs.runs(df).collect()) == [(0, 1), (3, 5), (6, 7)]
+
+
+def test_equal_head_without_repeating_the_last_item_begins_anew(spark):
+    x = np.repeat(np.arange(300.0, 900.0, 20), 8)
+    drift = [(x + 2.5 * k).tolist() for k in range(5)] + [x.tolist()]
+    df = spark.createDataFrame([(i, 7, T0 + dt.timedelta(seconds=i), y) for i, y in enumerate(drift)], QUEUE)
+    assert [(r.first_item_id, r.last_item_id) for r in runs.runs(df).collect()] == [(0, 4)]
+
+
 # percentiles
 
 
