@@ -9,16 +9,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.session import checkpointed, spread
+from tidewave.session import broadcast_if_small, checkpointed, spread
 
 #: Lengths of the final contexts in characters and in shapes, and weight of the shorter context.
 ORDERS, SHAPES, BACKOFF = (2, 4, 7, 11, 16), (1, 2, 4, 6, 9), 3.0
 TABLES = len(ORDERS) + len(SHAPES)
-#: Characters that the final contexts of a text may reach back.
-REACH = 400
 #: Positions hashed at once, contexts that wait to be counted together, and counted ones that a task holds before it gives them out.
 WINDOW, SEEN, HELD = 1 << 20, 1 << 22, 1 << 22
 #: Bits of the filter of wanted contexts: at least, for each context, and at most. It only spares the shuffle what is surely
@@ -26,15 +24,20 @@ WINDOW, SEEN, HELD = 1 << 20, 1 << 22, 1 << 22
 FILTER_LEAST, FILTER_EACH, FILTER_MOST = 1 << 20, 16, 1 << 30
 #: Bits that the filter is built by at a time.
 FILTER_BLOCK = 1 << 20
-#: A length is a source's limit if so many of its texts have it, at least this share, and hardly any text is longer.
-LIMIT_TEXTS, LIMIT_SHARE, BEYOND_SHARE = 5, 0.005, 0.005
-#: Marks that systems put in place of the rest.
-MARKS = ("...", "…", "[...]", "[…]", "(message shortened)", "[remainder not stored]", "<snip>", "[truncated]", "(truncated)", "[cut]", "[message clipped]", "�")
+#: A length is a pile if this log likelihood ratio speaks for it against the lengths within PILE_NEAR of it, and a limit if at most
+#: this share of the source's texts is longer without an ending of its own kind.
+PILE_EVIDENCE, PILE_NEAR, BEYOND_SHARE = 10.0, 256, 0.005
+#: Longest mark, in characters, that can stand in place of the rest, and the share of a pile's texts that must end in it.
+MARK_MOST, MARK_SHARE = 40, 0.8
+#: Fixed value: the character that decoders put for bytes that are none, such as a character cut in two.
+REPLACEMENT = "\ufffd"
 
-_MARK = re.compile(r"\s?(?:" + "|".join(map(re.escape, MARKS)) + r")$")
 _BOUNDARY = re.compile(r'boundary="?([^"\s;]+)')
 _HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
 _CODED = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_QUOTED, _QUOTED_END = re.compile(r"=[0-9A-F]{2}|=\r?\n"), re.compile(r"=[0-9A-F]?$")
+#: Letters from which a line can be one of an encoded body.
+LINE = 60
 
 
 def _canonical() -> np.ndarray:
@@ -69,10 +72,21 @@ def characters(text: str) -> np.ndarray:
     return np.frombuffer(text.replace("\r\n", "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def reach(text: str, end: int) -> int:
+    """Where to begin reading so that text[:end] shows its final contexts whole, however long its runs of letters or digits are."""
+    size = 256
+    while size < end:
+        tail = characters(text[end - size : end])
+        if len(tail) >= max(ORDERS) and len(shapes(tail)[1]) > max(SHAPES):
+            return end - size
+        size *= 4
+    return 0
+
+
 def final_contexts(texts: list[str]) -> np.ndarray:
     """A row for each text: hashes of the contexts at its end, those of characters first. Texts aren't empty."""
     gap = np.zeros(max(ORDERS), np.uint32)
-    tails = [characters(t[-REACH:]) for t in texts]
+    tails = [characters(t[reach(t, len(t)) :]) for t in texts]
     raw = np.concatenate([x for t in tails for x in (gap, t)])
     ends = np.cumsum([len(gap) + len(t) for t in tails]) - 1
     out = np.empty((len(texts), TABLES), np.int64)
@@ -117,43 +131,46 @@ def state(text: str) -> str:
         out.append("parts-open" if any(f"--{b}--" not in text for b in _BOUNDARY.findall(text)) else "parts-closed")
     if "<html" in text:
         out.append("html-open" if "</html>" not in text else "html-closed")
-    tail = text[-4000:].replace("\r", "")
-    lines = tail.rstrip("\n").split("\n")
-    if len(lines) > 1 and len(lines[-2]) >= 60 and _CODED.fullmatch(lines[-2]) and _CODED.fullmatch(lines[-1]):
-        out.append("coded-odd" if len(lines[-1]) % 4 else "coded-even")
-    elif re.search(r"=[0-9A-F]?$", tail) and re.search(r"=[0-9A-F]{2}|=\n", tail):
+    end = len(text.rstrip("\n\r"))
+    begin = text.rfind("\n", 0, end) + 1
+    last = text[begin:end]
+    before = text[text.rfind("\n", 0, max(0, begin - 1)) + 1 : max(0, begin - 1)].rstrip("\r")
+    coded = _CODED.fullmatch(last) and (len(last) >= LINE or len(before) >= LINE and _CODED.fullmatch(before))
+    if coded:
+        out.append("coded-odd" if len(last) % 4 else "coded-even")
+    elif _QUOTED_END.search(text, max(0, len(text) - 2)) and _QUOTED.search(text):
         out.append("quoted-cut")
     if "\n\n" not in text and "\n\r\n" not in text and _HEADER.match(text):
         out.append("header")
     return "+".join(out) or "plain"
 
 
-PROFILE = "key bigint, source string, lang string, chars int, bytes int, marked boolean, state string, cut_state string, ctx array<bigint>"
+PROFILE = "key bigint, source string, lang string, at_limit string, chars int, bytes int, state string, cut_state string, ctx array<bigint>"
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """One narrow row for each text: lengths without a final mark, structure, and hashes of its final contexts.
+    """One narrow row for each text (key, text, source, lang, at_limit, stripped): lengths, structure and hashes of its final contexts.
 
-    cut_state is the structure that the same text would show when cut at one place fixed by its key.
+    What is read is the text without its last `stripped` characters, the mark in place of the rest. cut_state is the structure
+    that the same text would show when cut at one place fixed by its key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
+            keys = b.column(0)
+            texts = [t[: len(t) - m] or t for t, m in zip(b.column(1).to_pylist(), b.column(5).to_pylist())]
             rows = []
             for k, t in zip(keys.to_pylist(), texts):
-                m = _MARK.search(t, max(0, len(t) - 40))
-                body = t[: m.start()] if m else t
                 cut = 1 + zlib.crc32(str(k).encode()) % max(1, len(t) - 1)
-                rows.append((len(body), len(body.encode("utf-8", "surrogatepass")), m is not None, state(t), state(t[:cut])))
-            c = list(zip(*rows)) if rows else [[]] * 5
+                rows.append((len(t), len(t.encode("utf-8", "surrogatepass")), state(t), state(t[:cut])))
+            c = list(zip(*rows)) if rows else [[]] * 4
             ctx = [final_contexts(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]
             ctx = np.concatenate(ctx) if ctx else np.zeros((0, TABLES), np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ctx) + 1, dtype=np.int32) * TABLES), pa.array(ctx.ravel()))
-            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([keys, b.column(2), b.column(3), *(pa.array(x, t) for x, t in zip(c, kinds)), lists], ["key", "source", "lang", "chars", "bytes", "marked", "state", "cut_state", "ctx"])
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([keys, b.column(2), b.column(3), b.column(4), *(pa.array(x, t) for x, t in zip(c, kinds)), lists], ["key", "source", "lang", "at_limit", "chars", "bytes", "state", "cut_state", "ctx"])
 
-    return docs.select("key", "text", "source", "lang").mapInArrow(run, PROFILE)
+    return docs.select("key", "text", "source", "lang", "at_limit", "stripped").mapInArrow(run, PROFILE)
 
 
 def filter_bits(ctx: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +260,10 @@ def continued(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 ok = inner[a : a + WINDOW]
                 for _, h in contexts(CANONICAL[raw[lo : a + WINDOW]]):
                     passing(h[a - lo :][ok])
-                lo = max(0, a - REACH)
+                lo, back = max(0, a - 256), 256
+                while lo and len(shapes(raw[lo:a])[1]) <= max(SHAPES):
+                    back *= 4
+                    lo = max(0, a - back)
                 seq, at = shapes(raw[lo : a + WINDOW])
                 size = np.add.reduceat(inner[lo : a + WINDOW] & (np.arange(lo, lo + len(raw[lo : a + WINDOW])) >= a), at, dtype=np.int64)
                 ok = size > 0
@@ -269,17 +289,83 @@ def continued(docs: DataFrame, ends: DataFrame) -> DataFrame:
     return ends.select("ctx").join(inner, "ctx", "left").select("ctx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def limits(rows: DataFrame) -> DataFrame:
-    """(source, unit, length): lengths at which a source cuts, in characters or bytes.
+def lengths(text: Column | str) -> list[tuple[str, Column]]:
+    """(unit, length) of a text in characters and in bytes."""
+    t = F.col(text) if isinstance(text, str) else text
+    return [("chars", F.length(t)), ("bytes", F.octet_length(t))]
+
+
+def piles(texts: DataFrame) -> DataFrame:
+    """(source, unit, pile, n): lengths that far more of a source's different texts have than lengths near them.
+
+    Judged by the likelihood ratio of the count against the one that the neighbouring lengths let expect, so that the same
+    rule holds for few texts and for many.
+    """
+    each = texts.select("source", F.xxhash64("text").alias("hash"), F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), n.cast("long").alias("length")) for u, n in lengths("text")])).alias("l"))
+    counts = each.select("source", "l.unit", "l.length", "hash").distinct().groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+    near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-PILE_NEAR, PILE_NEAR)
+    expected = (F.sum("n").over(near) - F.col("n") + 1) / (2 * PILE_NEAR)
+    n = F.col("n")
+    found = counts.withColumn("expected", expected).where((n > F.col("expected")) & (n * F.log(n / F.col("expected")) - (n - F.col("expected")) >= PILE_EVIDENCE))
+    return found.select("source", "unit", F.col("length").alias("pile"), "n")
+
+
+def marks(texts: DataFrame, heaps: DataFrame, rows: int) -> DataFrame:
+    """(source, unit, pile, mark): of each pile the longest ending that nearly all of its different texts share, or ''.
 
-    A limit is a length that many of the source's texts have and hardly any exceeds.
+    The ending is learned: systems that cut at a length and then say so leave texts that all end alike. `rows`: number of piles.
     """
-    measured = rows.select("source", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "length"))
-    counts = measured.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
-    totals = measured.groupBy("source", "unit").agg(F.count("*").alias("all"))
-    piles = counts.join(F.broadcast(totals), ["source", "unit"]).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("all")))
-    beyond = counts.join(F.broadcast(piles.select("source", "unit", F.col("length").alias("limit"), "all")), ["source", "unit"]).groupBy("source", "unit", "limit").agg(F.sum(F.when(F.col("length") > F.col("limit"), F.col("n")).otherwise(0)).alias("more"), F.first("all").alias("all"))
-    return beyond.where(F.col("more") <= BEYOND_SHARE * F.col("all")).groupBy("source", "unit").agg(F.max("limit").alias("length"))
+    side = broadcast_if_small(heaps.withColumnsRenamed({"source": "__s"}), rows)
+    at = F.when(F.col("unit") == "chars", F.length("text")).otherwise(F.octet_length("text"))
+    ends = texts.join(side, (F.col("source") == F.col("__s")) & (at == F.col("pile"))).select("source", "unit", "pile", F.xxhash64("text").alias("hash"), F.right("text", F.lit(MARK_MOST)).alias("tail")).distinct()
+    each = ends.select("source", "unit", "pile", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("k"), "tail")
+    suffix = each.groupBy("source", "unit", "pile", F.expr("right(tail, k)").alias("mark")).agg(F.count("*").alias("shared"))
+    long = suffix.join(heaps, ["source", "unit", "pile"]).where(F.col("shared") >= MARK_SHARE * F.col("n"))
+    best = long.groupBy("source", "unit", "pile").agg(F.max_by("mark", F.length("mark")).alias("mark"))
+    return heaps.select("source", "unit", "pile").join(best, ["source", "unit", "pile"], "left").select("source", "unit", "pile", F.coalesce("mark", F.lit("")).alias("mark"))
+
+
+def limits(texts: DataFrame) -> DataFrame:
+    """(source, unit, pile, mark, length): where a source cuts, in characters or bytes, and what it puts in place of the rest.
+
+    length is the pile's own without its mark. Such a length is a limit if hardly any of the source's texts is longer, but for those
+    of piles that end in a mark of the same limit. Of several limits of a source and unit the greatest counts.
+    """
+    heaps = checkpointed(piles(texts))
+    many = heaps.count()
+    learned = checkpointed(marks(texts, heaps, many))
+    size = F.when(F.col("unit") == "chars", F.length("mark")).otherwise(F.octet_length("mark"))
+    learned = learned.withColumn("length", F.col("pile") - size)
+    at = broadcast_if_small(learned.select(F.col("source").alias("__s"), "length", "unit").distinct(), many)
+    long = texts.select("source", *[n.alias(u) for u, n in lengths("text")], F.right("text", F.lit(MARK_MOST)).alias("tail"))
+    own = F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes"))
+    longer = long.join(at, F.col("source") == F.col("__s")).where(own > F.col("length")).groupBy("source", "unit", "length").agg(F.count("*").alias("longer"))
+    ended = learned.where("mark <> ''").withColumnsRenamed({"source": "__s"})
+    explained = long.join(broadcast_if_small(ended, many), (F.col("source") == F.col("__s")) & (own == F.col("pile")) & F.col("tail").endswith(F.col("mark"))).groupBy("source", "unit", "length").agg(F.count("*").alias("explained"))
+    all_texts = texts.groupBy("source").agg(F.count("*").alias("all"))
+    cuts = learned.join(longer, ["source", "unit", "length"], "left").join(explained, ["source", "unit", "length"], "left").join(all_texts, "source")
+    cuts = cuts.where(F.coalesce("longer", F.lit(0)) - F.coalesce("explained", F.lit(0)) <= BEYOND_SHARE * F.col("all"))
+    top = cuts.groupBy("source", "unit").agg(F.max("length").alias("length"))
+    return cuts.join(top, ["source", "unit", "length"], "left_semi").select("source", "unit", "pile", "mark", "length")
+
+
+def placed(texts: DataFrame) -> DataFrame:
+    """`texts` with at_limit ('no', 'yes', or 'marked' where a learned mark stands in place of the rest) and stripped, the mark's characters."""
+    known = checkpointed(limits(texts))
+    many = known.count()
+    plain = lambda unit: broadcast_if_small(known.where(F.col("unit") == unit).groupBy(F.col("source").alias(f"__{unit}_source")).agg(F.max("length").alias(f"__{unit}")), many)
+    ended = known.where("mark <> ''").select(F.col("source").alias("__s"), "unit", "pile", "mark")
+    rows = texts
+    for unit, n in lengths("text"):
+        rows = rows.join(plain(unit), F.col("source") == F.col(f"__{unit}_source"), "left")
+        side = broadcast_if_small(ended.where(F.col("unit") == unit).select(F.col("__s").alias(f"__{unit}_of"), F.col("pile").alias(f"__{unit}_pile"), F.col("mark").alias(f"__{unit}_mark")), many)
+        rows = rows.join(side, (F.col("source") == F.col(f"__{unit}_of")) & (n == F.col(f"__{unit}_pile")) & F.col("text").endswith(F.col(f"__{unit}_mark")), "left")
+    mark = F.coalesce("__chars_mark", "__bytes_mark")
+    broken = F.when(F.col("text").endswith(REPLACEMENT), 1).otherwise(0)
+    whole = F.octet_length("text") - 3 * broken
+    near = (F.length("text") == F.col("__chars")) | ((whole <= F.col("__bytes")) & (whole > F.col("__bytes") - 4))
+    at = F.when(mark.isNotNull(), "marked").when(F.coalesce(near, F.lit(False)), "yes").otherwise("no")
+    return rows.select(*texts.columns, at.alias("at_limit"), F.coalesce(F.length(mark), F.lit(0)).alias("stripped"))
 
 
 def language(lang: Column) -> Column:
@@ -300,7 +386,7 @@ def _priors(pdf: pd.DataFrame) -> pd.DataFrame:
     """
     lr = np.exp(-pdf["bin"].to_numpy() / 4.0)  # cut off against complete
     n = pdf["n"].to_numpy(float)
-    share = 0.5 if pdf["at_limit"].iloc[0] else 0.05
+    share = 0.05 if pdf["at_limit"].iloc[0] == "no" else 0.5
     for _ in range(STEPS):
         share = float(np.clip((n * (share * lr / (share * lr + 1 - share))).sum() / n.sum(), 1e-4, 1 - 1e-4))
     out = []
@@ -309,7 +395,7 @@ def _priors(pdf: pd.DataFrame) -> pd.DataFrame:
         s = share
         for _ in range(STEPS):
             s = float(((m * (s * l / (s * l + 1 - s))).sum() + OWN * share) / (m.sum() + OWN))
-        out.append((pdf["source"].iloc[0], bool(pdf["at_limit"].iloc[0]), lang, np.log((1 - s) / s)))
+        out.append((pdf["source"].iloc[0], pdf["at_limit"].iloc[0], lang, np.log((1 - s) / s)))
     return pd.DataFrame(out, columns=["source", "at_limit", "lang", "threshold"])
 
 
@@ -322,16 +408,14 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
        shapes (words and numbers as one symbol each), plus the log ratio of the text's structure among texts with
        convincing ends to that among texts cut at a fixed random place. A second round counts only the ends that the
        first found complete.
-    3. The threshold on it is the log odds of being complete among texts of that source, at or off its learned limit, and
-       language, by expectation maximisation, less MARGIN. A text whose mark replaces what lay beyond its source's limit is cut off.
+    3. The threshold on it is the log odds of being complete among texts of that source, off its learned limit, at it, or at it with a
+       learned mark in place of the rest, and language, by expectation maximisation, less MARGIN. The contexts of a marked text are
+       those before its mark.
 
     Texts of null source or language form groups of their own. Empty table: no rows.
     """
     texts = spread(docs).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.coalesce("source", F.lit("")).alias("source"), language(F.col("lang")).alias("lang")).where(F.col(text).rlike(r"\S"))
-    prof = checkpointed(profile(texts))
-    rows = prof.join(F.broadcast(_limit_of(prof, "chars")), "source", "left").join(F.broadcast(_limit_of(prof, "bytes")), "source", "left")
-    near = (F.col("chars") == F.col("chars_limit")) | ((F.col("bytes") <= F.col("bytes_limit")) & (F.col("bytes") > F.col("bytes_limit") - 4))
-    prof = checkpointed(rows.withColumn("at_limit", F.coalesce(near, F.lit(False))).drop("chars_limit", "bytes_limit"))
+    prof = checkpointed(profile(placed(texts)))
     # the final contexts of each distinct end, once: repeated texts have equal contexts, lengths and structure
     alike = ["chars", "bytes", "state", "ctx"]
     distinct = prof.dropDuplicates(alike)
@@ -346,10 +430,6 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return again.drop("ctx", "was_cut").withColumnRenamed("key", key)
 
 
-def _limit_of(rows: DataFrame, unit: str) -> DataFrame:
-    return limits(rows).where(F.col("unit") == unit).select("source", F.col("length").alias(f"{unit}_limit"))
-
-
 #: Parts that the ends of one context are spread over: one context may end a third of all texts.
 SALTS = 16
 
@@ -368,7 +448,7 @@ def judged(prof: DataFrame, counts: DataFrame, base: float, counted: Column) ->
     letters, forms = lift(F.filter("seen", lambda s: s["o"] < len(ORDERS))), lift(F.filter("seen", lambda s: s["o"] >= len(ORDERS)))
     rows = checkpointed(prof.join(found.select("key", letters.alias("letters"), forms.alias("forms")), "key"))
     rows = rows.withColumn("ending", (F.col("letters") + F.col("forms")) / 2)
-    sure = rows.where("ending > 3 and not at_limit").groupBy("state").agg(F.count("*").alias("c"))
+    sure = rows.where("ending > 3 and at_limit = 'no'").groupBy("state").agg(F.count("*").alias("c"))
     cut = rows.groupBy(F.col("cut_state").alias("state")).agg(F.count("*").alias("m"))
     shape = rows.select("state").distinct().join(sure, "state", "left").join(cut, "state", "left").select("state", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("m", F.lit(0)).alias("m"))
     sums = shape.agg(F.sum("c").alias("c"), F.sum("m").alias("m")).first()
@@ -376,10 +456,9 @@ def judged(prof: DataFrame, counts: DataFrame, base: float, counted: Column) ->
     rows = rows.join(F.broadcast(shape.select("state", ratio.alias("structure"))), "state")
     rows = rows.withColumn("evidence", F.col("ending") + F.col("structure"))
     bins = rows.groupBy("source", "at_limit", "lang", F.round(4 * F.greatest(F.lit(-15.0), F.least(F.lit(15.0), F.col("evidence")))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    priors = bins.groupBy("source", "at_limit").applyInPandas(_priors, "source string, at_limit boolean, lang string, threshold double")
+    priors = bins.groupBy("source", "at_limit").applyInPandas(_priors, "source string, at_limit string, lang string, threshold double")
     rows = rows.join(F.broadcast(priors), ["source", "at_limit", "lang"])
-    cut_off = (F.col("marked") & F.col("at_limit")) | (F.col("evidence") + F.col("threshold") < -MARGIN)
-    return rows.withColumn("cut_off", cut_off)
+    return rows.withColumn("cut_off", F.col("evidence") + F.col("threshold") < -MARGIN)
 
 
 def shares(rows: DataFrame) -> DataFrame:
