@@ -17,8 +17,9 @@ from tidewave.session import broadcast_if_small, checkpointed, spread
 #: Lengths of the final contexts in characters and in shapes, and weight of the shorter context.
 ORDERS, SHAPES, BACKOFF = (2, 4, 7, 11, 16), (1, 2, 4, 6, 9), 3.0
 TABLES = len(ORDERS) + len(SHAPES)
-#: Positions hashed at once, contexts that wait to be counted together, and counted ones that a task holds before it gives them out.
-WINDOW, SEEN, HELD = 1 << 20, 1 << 22, 1 << 22
+#: Characters gathered at once, positions hashed at once (few enough for a core's cache), contexts that wait to be counted together,
+#: and counted ones that a task holds before it gives them out.
+GATHER, WINDOW, SEEN, HELD = 1 << 20, 1 << 16, 1 << 22, 1 << 22
 #: Bits of the filter of wanted contexts: at least, for each context, and at most. It only spares the shuffle what is surely
 #: not wanted, so at the most it lets more pass, and counts stay exact.
 FILTER_LEAST, FILTER_EACH, FILTER_MOST = 1 << 20, 16, 1 << 30
@@ -72,30 +73,37 @@ def characters(text: str) -> np.ndarray:
     return np.frombuffer(text.replace("\r\n", "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def reach(text: str, end: int) -> int:
-    """Where to begin reading so that text[:end] shows its final contexts whole, however long its runs of letters or digits are."""
-    size = 256
-    while size < end:
-        tail = characters(text[end - size : end])
-        if len(tail) >= max(ORDERS) and len(shapes(tail)[1]) > max(SHAPES):
-            return end - size
-        size *= 4
-    return 0
+#: Characters read for the final contexts at first; further back only where they hold too few symbols.
+TAIL = 320
 
 
 def final_contexts(texts: list[str]) -> np.ndarray:
-    """A row for each text: hashes of the contexts at its end, those of characters first. Texts aren't empty."""
+    """A row for each text: hashes of the contexts at its end, those of characters first. Texts aren't empty.
+
+    However long its runs of letters or digits are, a text is read as far back as its contexts reach.
+    """
     gap = np.zeros(max(ORDERS), np.uint32)
-    tails = [characters(t[reach(t, len(t)) :]) for t in texts]
-    raw = np.concatenate([x for t in tails for x in (gap, t)])
-    ends = np.cumsum([len(gap) + len(t) for t in tails]) - 1
+    size = TAIL
+    tails = [characters(t[-size:]) for t in texts]
+    short = np.array([i for i, t in enumerate(texts) if len(t) > size], np.int64)
+    while True:
+        raw = np.concatenate([x for t in tails for x in (gap, t)])
+        ends = np.cumsum([len(gap) + len(t) for t in tails]) - 1
+        seq, at = shapes(raw)
+        last = np.searchsorted(at, ends, "right") - 1
+        held = last - np.searchsorted(at, ends + 1 - [len(t) for t in tails])
+        short = short[(held[short] <= max(SHAPES)) | np.array([len(tails[i]) < max(ORDERS) for i in short], bool)]
+        if not len(short):
+            break
+        size *= 8
+        for i in short:
+            tails[i] = characters(texts[i][-size:])
+        short = np.array([i for i in short if len(texts[i]) > size], np.int64)
     out = np.empty((len(texts), TABLES), np.int64)
     for o, h in contexts(CANONICAL[raw]):
         out[:, o] = h[ends]
-    seq, at = shapes(raw)
-    ends = np.searchsorted(at, ends, "right") - 1
     for o, h in contexts(seq, SHAPES, len(ORDERS)):
-        out[:, o] = h[ends]
+        out[:, o] = h[last]
     return out
 
 
@@ -173,11 +181,10 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text", "source", "lang", "at_limit", "stripped").mapInArrow(run, PROFILE)
 
 
-def filter_bits(ctx: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of each context in a filter of `bits` bits, a power of two."""
-    n = bits.bit_length() - 1
+def filter_bits(ctx: np.ndarray, bits: int, which: int) -> np.ndarray:
+    """The first or second place (0, 1) of each context in a filter of `bits` bits, a power of two."""
     x = ctx.view(np.uint64)
-    return (x >> np.uint64(64 - n)).astype(np.int64), (x & np.uint64(bits - 1)).astype(np.int64)
+    return (x & np.uint64(bits - 1) if which else x >> np.uint64(65 - bits.bit_length())).view(np.int64)
 
 
 def wanted(ends: DataFrame, bits: int) -> np.ndarray:
@@ -185,7 +192,7 @@ def wanted(ends: DataFrame, bits: int) -> np.ndarray:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.concatenate(filter_bits(b.column(0).to_numpy(), bits))
+            at = np.concatenate([filter_bits(b.column(0).to_numpy(), bits, k) for k in (0, 1)])
             yield pa.RecordBatch.from_arrays([pa.array((at // FILTER_BLOCK).astype(np.int32)), pa.array((at % FILTER_BLOCK).astype(np.int32))], ["block", "at"])
 
     def packed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +235,7 @@ def continued(docs: DataFrame, ends: DataFrame) -> DataFrame:
 
         def passing(h: np.ndarray, n: np.ndarray | None = None) -> None:
             for k in (0, 1):
-                at = filter_bits(h, bits)[k]
+                at = filter_bits(h, bits, k)
                 ok = (held_bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
                 h, n = h[ok], None if n is None else n[ok]
             if n is None:
@@ -269,7 +276,7 @@ def continued(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 ok = size > 0
                 for _, h in contexts(seq, SHAPES, len(ORDERS)):
                     passing(h[ok], size[ok])
-                yield from merge(SEEN, HELD)
+            yield from merge(SEEN, HELD)
 
         parts: list[np.ndarray] = []
         size = 0
@@ -278,7 +285,7 @@ def continued(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 p = characters(t.as_py())
                 parts.append(p)
                 size += len(p)
-                if size >= WINDOW - max(ORDERS) * 1024:
+                if size >= GATHER:
                     yield from add(parts)
                     parts, size = [], 0
         if parts:
@@ -289,20 +296,22 @@ def continued(docs: DataFrame, ends: DataFrame) -> DataFrame:
     return ends.select("ctx").join(inner, "ctx", "left").select("ctx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def lengths(text: Column | str) -> list[tuple[str, Column]]:
-    """(unit, length) of a text in characters and in bytes."""
-    t = F.col(text) if isinstance(text, str) else text
-    return [("chars", F.length(t)), ("bytes", F.octet_length(t))]
+def text_ends(texts: DataFrame) -> DataFrame:
+    """(source, hash, chars, bytes, tail) of each different text of a source: all that limits and marks are learned from."""
+    return texts.select("source", F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.right("text", F.lit(MARK_MOST)).alias("tail")).distinct()
 
 
-def piles(texts: DataFrame) -> DataFrame:
+UNITS = ("chars", "bytes")
+
+
+def piles(ends: DataFrame) -> DataFrame:
     """(source, unit, pile, n): lengths that far more of a source's different texts have than lengths near them.
 
     Judged by the likelihood ratio of the count against the one that the neighbouring lengths let expect, so that the same
     rule holds for few texts and for many.
     """
-    each = texts.select("source", F.xxhash64("text").alias("hash"), F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), n.cast("long").alias("length")) for u, n in lengths("text")])).alias("l"))
-    counts = each.select("source", "l.unit", "l.length", "hash").distinct().groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+    each = ends.select("source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS])).alias("l"))
+    counts = each.groupBy("source", "l.unit", "l.length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-PILE_NEAR, PILE_NEAR)
     expected = (F.sum("n").over(near) - F.col("n") + 1) / (2 * PILE_NEAR)
     n = F.col("n")
@@ -310,14 +319,14 @@ def piles(texts: DataFrame) -> DataFrame:
     return found.select("source", "unit", F.col("length").alias("pile"), "n")
 
 
-def marks(texts: DataFrame, heaps: DataFrame, rows: int) -> DataFrame:
+def marks(ends: DataFrame, heaps: DataFrame, rows: int) -> DataFrame:
     """(source, unit, pile, mark): of each pile the longest ending that nearly all of its different texts share, or ''.
 
     The ending is learned: systems that cut at a length and then say so leave texts that all end alike. `rows`: number of piles.
     """
     side = broadcast_if_small(heaps.withColumnsRenamed({"source": "__s"}), rows)
-    at = F.when(F.col("unit") == "chars", F.length("text")).otherwise(F.octet_length("text"))
-    ends = texts.join(side, (F.col("source") == F.col("__s")) & (at == F.col("pile"))).select("source", "unit", "pile", F.xxhash64("text").alias("hash"), F.right("text", F.lit(MARK_MOST)).alias("tail")).distinct()
+    own = F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes"))
+    ends = ends.join(side, (F.col("source") == F.col("__s")) & (own == F.col("pile"))).select("source", "unit", "pile", "tail")
     each = ends.select("source", "unit", "pile", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("k"), "tail")
     suffix = each.groupBy("source", "unit", "pile", F.expr("right(tail, k)").alias("mark")).agg(F.count("*").alias("shared"))
     long = suffix.join(heaps, ["source", "unit", "pile"]).where(F.col("shared") >= MARK_SHARE * F.col("n"))
@@ -325,41 +334,40 @@ def marks(texts: DataFrame, heaps: DataFrame, rows: int) -> DataFrame:
     return heaps.select("source", "unit", "pile").join(best, ["source", "unit", "pile"], "left").select("source", "unit", "pile", F.coalesce("mark", F.lit("")).alias("mark"))
 
 
-def limits(texts: DataFrame) -> DataFrame:
+def limits(ends: DataFrame) -> DataFrame:
     """(source, unit, pile, mark, length): where a source cuts, in characters or bytes, and what it puts in place of the rest.
 
     length is the pile's own without its mark. Such a length is a limit if hardly any of the source's texts is longer, but for those
     of piles that end in a mark of the same limit. Of several limits of a source and unit the greatest counts.
     """
-    heaps = checkpointed(piles(texts))
+    heaps = checkpointed(piles(ends))
     many = heaps.count()
-    learned = checkpointed(marks(texts, heaps, many))
+    learned = marks(ends, heaps, many)
     size = F.when(F.col("unit") == "chars", F.length("mark")).otherwise(F.octet_length("mark"))
-    learned = learned.withColumn("length", F.col("pile") - size)
-    at = broadcast_if_small(learned.select(F.col("source").alias("__s"), "length", "unit").distinct(), many)
-    long = texts.select("source", *[n.alias(u) for u, n in lengths("text")], F.right("text", F.lit(MARK_MOST)).alias("tail"))
+    learned = checkpointed(learned.withColumn("length", F.col("pile") - size))
+    side = learned.withColumnsRenamed({"source": "__s", "pile": "__pile", "mark": "__mark"})
     own = F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes"))
-    longer = long.join(at, F.col("source") == F.col("__s")).where(own > F.col("length")).groupBy("source", "unit", "length").agg(F.count("*").alias("longer"))
-    ended = learned.where("mark <> ''").withColumnsRenamed({"source": "__s"})
-    explained = long.join(broadcast_if_small(ended, many), (F.col("source") == F.col("__s")) & (own == F.col("pile")) & F.col("tail").endswith(F.col("mark"))).groupBy("source", "unit", "length").agg(F.count("*").alias("explained"))
-    all_texts = texts.groupBy("source").agg(F.count("*").alias("all"))
-    cuts = learned.join(longer, ["source", "unit", "length"], "left").join(explained, ["source", "unit", "length"], "left").join(all_texts, "source")
-    cuts = cuts.where(F.coalesce("longer", F.lit(0)) - F.coalesce("explained", F.lit(0)) <= BEYOND_SHARE * F.col("all"))
+    beyond = ends.join(broadcast_if_small(side, many), (F.col("source") == F.col("__s")) & (own > F.col("length")))
+    explained = (own == F.col("__pile")) & (F.col("__mark") != "") & F.col("tail").endswith(F.col("__mark"))
+    # a text longer than a limit meets each of the limit's piles, and is explained by one of them at most
+    longer = beyond.groupBy("source", "unit", "length").agg((F.count("*") / F.count_distinct("__pile") - F.count_if(explained)).alias("longer"))
+    all_texts = ends.groupBy("source").agg(F.count("*").alias("all"))
+    cuts = learned.join(longer, ["source", "unit", "length"], "left").join(all_texts, "source").where(F.coalesce("longer", F.lit(0)) <= BEYOND_SHARE * F.col("all"))
     top = cuts.groupBy("source", "unit").agg(F.max("length").alias("length"))
     return cuts.join(top, ["source", "unit", "length"], "left_semi").select("source", "unit", "pile", "mark", "length")
 
 
 def placed(texts: DataFrame) -> DataFrame:
     """`texts` with at_limit ('no', 'yes', or 'marked' where a learned mark stands in place of the rest) and stripped, the mark's characters."""
-    known = checkpointed(limits(texts))
+    known = checkpointed(limits(checkpointed(text_ends(texts))))
     many = known.count()
-    plain = lambda unit: broadcast_if_small(known.where(F.col("unit") == unit).groupBy(F.col("source").alias(f"__{unit}_source")).agg(F.max("length").alias(f"__{unit}")), many)
-    ended = known.where("mark <> ''").select(F.col("source").alias("__s"), "unit", "pile", "mark")
     rows = texts
-    for unit, n in lengths("text"):
-        rows = rows.join(plain(unit), F.col("source") == F.col(f"__{unit}_source"), "left")
-        side = broadcast_if_small(ended.where(F.col("unit") == unit).select(F.col("__s").alias(f"__{unit}_of"), F.col("pile").alias(f"__{unit}_pile"), F.col("mark").alias(f"__{unit}_mark")), many)
-        rows = rows.join(side, (F.col("source") == F.col(f"__{unit}_of")) & (n == F.col(f"__{unit}_pile")) & F.col("text").endswith(F.col(f"__{unit}_mark")), "left")
+    for unit, n in zip(UNITS, (F.length("text"), F.octet_length("text"))):
+        own = known.where(F.col("unit") == unit)
+        plain = own.groupBy(F.col("source").alias(f"__{unit}_source")).agg(F.max("length").alias(f"__{unit}"))
+        ended = own.where("mark <> ''").select(F.col("source").alias(f"__{unit}_of"), F.col("pile").alias(f"__{unit}_pile"), F.col("mark").alias(f"__{unit}_mark"))
+        rows = rows.join(broadcast_if_small(plain, many), F.col("source") == F.col(f"__{unit}_source"), "left")
+        rows = rows.join(broadcast_if_small(ended, many), (F.col("source") == F.col(f"__{unit}_of")) & (n == F.col(f"__{unit}_pile")) & F.col("text").endswith(F.col(f"__{unit}_mark")), "left")
     mark = F.coalesce("__chars_mark", "__bytes_mark")
     broken = F.when(F.col("text").endswith(REPLACEMENT), 1).otherwise(0)
     whole = F.octet_length("text") - 3 * broken
