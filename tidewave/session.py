@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +33,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the one `spark.checkpoint.dir` names; only where that is unset (tests, a laptop) a local one."""
+    """The folder all executors share, which `spark.checkpoint.dir` names.
+
+    Where that is unset a temporary folder is made, for as long as this process lasts, if the session runs on this machine
+    alone (tests, a laptop); on a cluster it is an error.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewave-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tidewave-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the checkpoint folder, its lineage cut: for wide rows, which compress well and are read by column."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder, its lineage cut."""
     checkpoint_folder(df.sparkSession)
