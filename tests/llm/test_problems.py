@@ -84,10 +84,10 @@ def test_equal_head_without_repeating_the_last_item_begins_anew(spark):
 # percentiles
 
 
-@given(st.lists(st.lists(st.integers(-1000, 1000), min_size=1, max_size=400), min_size=1, max_size=12), st.integers(8, 64))
+@given(st.lists(st.lists(st.integers(-1000, 1000), min_size=1, max_size=400), min_size=1, max_size=12), st.floats(0.001, 0.1))
 @settings(max_examples=40, deadline=None)
-def test_summary_bounds_hold(parts, size):
-    s = quantiles.compress(quantiles.merge([quantiles.summarise(np.array(p, float), size) for p in parts]), size)
+def test_summary_bounds_hold(parts, error):
+    s = quantiles.compress(quantiles.merge([quantiles.summarise(np.array(p, float)) for p in parts]), error)
     x = np.sort(np.concatenate([np.array(p, float) for p in parts]))
     assert s[0] == len(x)
     for v, below, upto in zip(*s[1:]):
@@ -114,6 +114,34 @@ def test_percentiles_within_one_percent(spark):
     assert quantiles.summaries(df.where("false"), ["c"], "v").count() == 0
 
 
+def test_many_folds_stay_within_the_error():
+    rng = np.random.default_rng(4)
+    ladder, parts = quantiles.Ladder(), []
+    for i in range(1000):
+        parts.append(rng.normal(i % 7, 1 + i % 3, 3000))
+        ladder.add(quantiles.summarise(parts[-1]))
+    level, s = ladder.one()
+    x = np.sort(np.concatenate(parts))
+    assert s[0] == len(x) and level <= 4 and quantiles.rank_error(s) <= quantiles.ERROR < 0.01 and len(s[1]) < 2000
+    assert max(map(len, ladder.levels)) < quantiles.FAN_IN
+    for p, v in zip(quantiles.PERCENTS, quantiles.quantile(s, np.array(quantiles.PERCENTS) / 100)):
+        r = np.ceil(p / 100 * len(x))
+        assert max(np.searchsorted(x, v) + 1 - r, r - np.searchsorted(x, v, "right"), 0) <= quantiles.rank_error(s) * len(x) + 1
+
+
+def test_many_summaries_of_a_key_are_merged_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i % 5, i, rng.normal(size=50).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "c long, d int, v array<double>").repartition(40)
+    days = quantiles.summaries(df, ["c", "d"], "v").checkpoint()
+    assert days.count() == 200 and quantiles.merged(days, ["c"]).count() == 5
+    whole = quantiles.summaries(df, ["c"], "v").collect()
+    assert [r.n for r in whole] == [2000] * 5 and max(r.rank_error for r in whole) <= quantiles.ERROR
+    bad = days.withColumn("rank_error", days.rank_error + 0.011)
+    with pytest.raises(Exception, match="certain only"):
+        quantiles.percentiles(bad, ["c"]).collect()
+
+
 # pieces
 
 
