@@ -256,6 +256,54 @@ def test_packing(spark, seed):
     assert packing.pack(df.where("false"), "id", "n").count() == 0
 
 
+def test_full_pieces_of_repeated_keys_are_apart(spark):
+    got = packing.pack(spark.createDataFrame([(7, 3000), (7, 3000), (8, 2048)], "id long, n int"), "id", "n").toPandas()
+    assert got.groupby("container")["size"].sum().max() <= 2048 and got["size"].sum() == 8048 and (got["size"] == 2048).sum() == 3
+
+
+def test_containers_are_nearly_full(spark):
+    rng = np.random.default_rng(7)
+    sizes = [int(x) for x in rng.lognormal(6.2, 0.8, 3000)] + [333] * 1500
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "id long, n int"), "id", "n").toPandas()
+    held = got.groupby("container")["size"].sum()
+    assert held.max() <= 2048 and held.sum() == sum(sizes) and held.sum() / (2048 * len(held)) >= 0.99
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_depths_equal_a_stack(counts):
+    gaps, items = (np.array(x) for x in zip(*counts))
+    below, above, take = packing.depths(gaps, items)
+    stack = 0
+    for v in range(len(gaps) - 1, -1, -1):
+        assert below[v] == stack
+        stack += gaps[v]
+        assert above[v] == stack and take[v] == min(items[v], stack)
+        stack -= take[v]
+
+
+def test_sweep_gives_each_item_its_successor(spark, monkeypatch):
+    rng = random.Random(9)
+    gaps, items = ([rng.randint(1, 20) for _ in range(200)] for _ in range(2))
+    count = lambda x: np.bincount(x, minlength=21)
+    below, above, take = packing.depths(count(gaps), count(items))
+    table = spark.createDataFrame([(v, int(below[v]), int(above[v]), 0, int(take[v])) for v in range(21)], "value int, below long, above long, lo long, take long")
+    number = lambda df, group, key, out, x: packing.numbered(df, group, key, out, {v: int(n) for v, n in enumerate(count(x)) if n})
+    for part in (10**6, 3):
+        monkeypatch.setattr(packing, "PART", part)
+        g = number(spark.createDataFrame(list(enumerate(gaps)), "container long, gap int"), "gap", "container", "rank", gaps)
+        i = number(spark.createDataFrame(list(enumerate(items)), "item long, size int"), "size", "item", "no", items)
+        got = packing.swept(g, i.select("size", "no"), table).collect()
+        free, want = sorted(gaps), []
+        for x in sorted(items, reverse=True):
+            fits = [y for y in free if y >= x]
+            if fits:
+                free.remove(fits[0])
+                want.append((fits[0], x))
+        assert len(got) == 200 and sorted((r.gap, r.took_size) for r in got if r.took_size is not None) == sorted(want)
+        assert len({(r.took_size, r.took_no) for r in got if r.took_size is not None}) == len(want)
+
+
 # cut-off texts
 
 

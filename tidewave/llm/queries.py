@@ -83,6 +83,17 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, d, "documents")), "doc_id", "n_tokens")
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document that is packed: whether all of its tokens are, in containers none of which is over capacity, and it is split only if it must be."""
+    sizes = written(tokens.count_tokens(table(spark, d, "documents")))
+    rows = written(packing.pack(sizes, "doc_id", "n_tokens"))
+    over = rows.groupBy("container").agg(F.sum("size").alias("held")).select(F.col("container").alias("c"), (F.col("held") > packing.CAPACITY).alias("over"))
+    each = rows.join(over, F.col("container") == F.col("c")).groupBy(F.col("doc_id").alias("id")).agg(F.sum("size").alias("placed"), F.count("*").alias("pieces"), F.bool_or("over").alias("over"))
+    each = sizes.join(each, F.col("doc_id") == F.col("id"))
+    must = F.ceil(F.col("n_tokens") / packing.CAPACITY)
+    return each.select("doc_id", (F.col("placed") == F.col("n_tokens")).alias("whole"), (~F.col("over")).alias("fits"), (F.col("pieces") == must).alias("split_if_needed"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.scored(table(spark, d, "documents")).where("cut_off").select("doc_id")
 
@@ -91,7 +102,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncation.shares(truncation.scored(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_events, p3_percentiles, p3_summaries, p3_rank_errors, p4_found, p4_pieces, p5_found, p5_top, p6_ids, p7_containers, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_events, p3_percentiles, p3_summaries, p3_rank_errors, p4_found, p4_pieces, p5_found, p5_top, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
 
 BEST = """
   select query_number, match_id, p_value, match_ordinal, row_number() over (partition by query_number
@@ -107,6 +118,7 @@ SQL: dict[str, str] = {
     "p3_rank_errors": f"""select whole, m_channel_num, cast(day as varchar) as day, cast(percent as integer) as percent, n, true as within from (
   select false as whole, m_channel_num, day, count(*) as n from {FINITE} group by 2, 3 union all select true, m_channel_num, null, count(*) from {FINITE} group by 2),
   (select unnest([1, 5, 25, 50, 75, 95, 99]) as percent)""",
+    "p7_fill": "select doc_id, true as whole, true as fits, true as split_if_needed from documents where text is not null and text <> ''",
     "p5_found": f"select query_number, match_id from ({BEST}) where rank <= 5",
     "p5_top": f"select query_number, match_id, p_value, cast(rank as integer) as rank from ({BEST}) where rank <= 5",
     "p4_found": """
