@@ -160,6 +160,16 @@ def test_pieces_cover_within_the_limit(n, marks, gaps):
     for a, b, natural in got:
         assert 0 < b - a + (20 if a else 0) <= 300
         assert not natural or b == n or b in marks or b in gaps
+    assert pieces.starts(pieces.tree(n, marks, np.setdiff1d(gaps, marks))) == np.union1d(marks, gaps).tolist()
+
+
+def test_remnants_join_their_siblings():
+    node = pieces.tree(700, np.array([450, 520]), np.array([200, 460]))
+    assert pieces.pack(node, 300, 20) == [(0, 200, True), (200, 450, True), (450, 700, True)]
+    # what is left of a leaf cut at the limit goes on with the next sequence
+    assert pieces.pack(pieces.tree(400, np.array([350]), np.array([], int)), 300, 20) == [(0, 300, False), (300, 400, True)]
+    # a sequence that fits by itself is not opened to fill the piece before
+    assert pieces.pack(pieces.tree(500, np.array([250]), np.array([300])), 300, 20) == [(0, 250, True), (250, 500, True)]
 
 
 def test_pieces_tables(spark):

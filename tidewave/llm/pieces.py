@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.session import checkpointed
+from tidewave.session import broadcast_if_small, checkpointed, one_row_per_key
 
 LIMIT, OVERLAP, GAP = 4096, 64, 10
 
@@ -21,7 +21,10 @@ def gap_ends(missing: np.ndarray, gap: int = GAP) -> np.ndarray:
     return end[(end - begin >= gap) & (begin > 0) & (end < len(missing))]
 
 
-def tree(n: int, marks: np.ndarray, gaps: np.ndarray) -> list[tuple[int, int, list]]:
+Node = tuple[int, int, list]
+
+
+def tree(n: int, marks: np.ndarray, gaps: np.ndarray) -> list[Node]:
     """The list's structure: sequences (between `marks`), each with its stretches (between `gaps`), as (start, end, children)."""
     top = np.concatenate([[0], marks, [n]])
     nodes = []
@@ -32,37 +35,59 @@ def tree(n: int, marks: np.ndarray, gaps: np.ndarray) -> list[tuple[int, int, li
     return nodes
 
 
-def pack(nodes: list[tuple[int, int, list]], limit: int, overlap: int) -> list[tuple[int, int, bool]]:
+def starts(nodes: list[Node]) -> list[int]:
+    """Where the nodes of a tree start, but for the list's own start: its natural boundaries, each once."""
+    out: list[int] = []
+    for a, _, children in nodes:
+        out += [c for c, *_ in children] if children else [a]
+    return out[1:] if out and not out[0] else out
+
+
+def pack(nodes: list[Node], limit: int, overlap: int) -> list[tuple[int, int, bool]]:
     """Bottom-up: sibling subtrees are merged while they fit; only a node too large by itself is opened.
 
     Gives (start, end, whether the cut at end is natural) of the new samples of each piece; every piece but the list's first
-    also repeats `overlap` samples, so it has room for `limit - overlap` new ones.
+    also repeats `overlap` samples, so it has room for `limit - overlap` new ones. What is left at the end of an opened node, or
+    of a leaf cut at the limit, goes on to be merged with the siblings that follow.
     """
     room = lambda start: limit if start == 0 else limit - overlap
     out: list[tuple[int, int, bool]] = []
-    open_at: int | None = None
-    end = 0
-    for a, b, children in nodes:
-        if open_at is not None and b - open_at > room(open_at):
-            out.append((open_at, end, True))
-            open_at = None
-        if b - a <= room(a):
-            open_at, end = a if open_at is None else open_at, b
-            continue
-        if children:
-            out += pack(children, limit, overlap)
+    held: list[int] = []  # the piece that still grows: start and end
+
+    def close(natural: bool = True) -> None:
+        if held:
+            out.append((held[0], held[1], natural))
+            held.clear()
+
+    def take(a: int, b: int, children: list[Node]) -> None:
+        if held and b - held[0] <= room(held[0]):
+            held[1] = b
+        elif b - a <= room(a):
+            close()
+            held[:] = a, b
+        elif children:
+            for child in children:
+                take(*child)
         else:  # a leaf beyond the limit has no boundary in reach
+            close()
             while b - a > room(a):
                 out.append((a, a + room(a), False))
                 a = out[-1][1]
-            out.append((a, b, True))
-    if open_at is not None:
-        out.append((open_at, end, True))
+            held[:] = a, b
+
+    for node in nodes:
+        take(*node)
+    close()
     return out
 
 
-PARSED = "tab string, item_id bigint, n int, cuts array<int>, pieces array<struct<start:int,end:int,natural:boolean>>"
-PIECE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("natural", pa.bool_())]))
+def piece_ranges(n: int, marks: np.ndarray, gaps: np.ndarray, limit: int, overlap: int) -> tuple[list[int], list[tuple[int, int, bool]]]:
+    """(natural boundaries, pieces with their overlap) of a list of n samples, both read off its tree."""
+    nodes = tree(n, marks, np.setdiff1d(gaps, marks))
+    return starts(nodes), [(max(0, s - overlap), e, natural) for s, e, natural in pack(nodes, limit, overlap)]
+
+
+PARSED = "tab string, item_id bigint, n int, cuts array<int>"
 
 
 def list_gaps(lists: DataFrame, gap: int = GAP) -> DataFrame:
@@ -78,27 +103,50 @@ def list_gaps(lists: DataFrame, gap: int = GAP) -> DataFrame:
 
 
 def parsed(gaps: DataFrame, marks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(tab, item_id, n, cuts, pieces) of lists given by length and gaps, and by the `marks` (tab, item_id, marks) inside them.
+    """(tab, item_id, n, cuts) of lists given by length and gaps, and by the `marks` (tab, item_id, marks) inside them.
 
-    cuts are the first samples after natural boundaries, marks and ends of gaps; a place that is both counts once. pieces are
-    half-open ranges of at most `limit` samples, all but the first beginning `overlap` samples before the end of the piece
-    before; they cover the list. A list of only missing samples is cut at the limit.
+    cuts are the starts of the nodes of the list's tree, the first samples after marks and gaps; a place that is both counts once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cuts, pieces = [], []
+            cuts = []
             for n, g, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 at, g = np.unique(np.asarray(m or [], np.int64)), np.asarray(g or [], np.int64)
-                kept = pack(tree(n, at, np.setdiff1d(g, at)), limit, overlap)
-                cuts.append(np.union1d(at, g).tolist())
-                pieces.append([{"start": max(0, s - overlap) if s else 0, "end": e, "natural": nat} for s, e, nat in kept])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cuts, pa.list_(pa.int32())), pa.array(pieces, PIECE)], ["tab", "item_id", "n", "cuts", "pieces"])
+                cuts.append(starts(tree(n, at, np.setdiff1d(g, at))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cuts, pa.list_(pa.int32()))], ["tab", "item_id", "n", "cuts"])
 
     rows = gaps.join(marks, ["tab", "item_id"], "left")
     return rows.select("tab", "item_id", "n", "gaps", "marks").mapInArrow(run, PARSED)
 
 
+PIECES = "tab string, item_id bigint, piece int, start int, end int, natural boolean, samples array<float>"
+
+
+def cut_up(lists: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, gap: int = GAP) -> DataFrame:
+    """(tab, item_id, piece, start, end, natural, samples) of lists (tab, item_id, samples, marks), each parsed and sliced in place.
+
+    Pieces are half-open ranges of at most `limit` samples, all but the first beginning `overlap` samples before the end of the
+    piece before; they cover the list. A list of only missing samples is cut at the limit. No marks may be null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, off = b.column(2).values, b.column(2).offsets.to_numpy()
+            x = values.to_numpy(zero_copy_only=False)
+            for i, m in enumerate(b.column(3).to_pylist()):
+                s, n = int(off[i]), int(off[i + 1] - off[i])
+                _, got = piece_ranges(n, np.unique(np.asarray(m or [], np.int64)), gap_ends(np.isnan(x[s : s + n]), gap), limit, overlap)
+                start, end, natural = zip(*got)
+                size = np.array(end) - start
+                taken = values.take(pa.array(np.repeat(np.array(start) + s - np.cumsum(size) + size, size) + np.arange(size.sum())))
+                slices = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), taken)
+                rep = pa.array([i] * len(got))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rep), b.column(1).take(rep), pa.array(range(len(got)), pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(natural), slices], ["tab", "item_id", "piece", "start", "end", "natural", "samples"])
+
+    return lists.select("tab", "item_id", "samples", "marks").mapInArrow(run, PIECES)
+
+
 def long_lists(wqueue: DataFrame, cdtw: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(tab, item_id, samples) of both tables' lists beyond `limit`; null and short lists, and null ids, give no row."""
     queue = wqueue.where(F.size("m_reads") > limit).select(F.lit("wqueue").alias("tab"), "item_id", F.col("m_reads").alias("samples"))
@@ -106,16 +154,21 @@ def long_lists(wqueue: DataFrame, cdtw: DataFrame, limit: int = LIMIT) -> DataFr
     return queue.unionByName(subjects).where("item_id is not null")
 
 
+def inner_marks(lengths: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(subject_id, marks): the distinct end_pos inside each subject, whose `lengths` are (subject_id, n); no more than it has samples."""
+    ends = offsets.select("subject_id", "end_pos")
+    inside = ends.join(lengths.withColumnsRenamed({"n": "__n"}), "subject_id").where("end_pos > 0 and end_pos < __n").select("subject_id", "end_pos").distinct()
+    return inside.groupBy("subject_id").agg(F.collect_list("end_pos").alias("marks"), F.count("*").alias("__many"))
+
+
 def parse_lists(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame) -> DataFrame:
-    """The structure and the pieces of every list beyond the limit, each id once.
+    """The structure of every list beyond the limit, each id once.
 
-    The lists are read in place; what is shuffled is their gaps and the offsets. A subject's marks are the distinct end_pos
-    inside its list, so they are no more than its samples.
+    The lists are read in place; what is shuffled is their gaps and the offsets.
     """
     gaps = checkpointed(list_gaps(long_lists(wqueue, cdtw)).dropDuplicates(["tab", "item_id"]))
-    lengths = gaps.where("tab = 'cdtw'").select(F.col("item_id").alias("subject_id"), F.col("n").alias("__n"))
-    inside = offsets.join(lengths, "subject_id").where("end_pos > 0 and end_pos < __n").select("subject_id", "end_pos").distinct()
-    marks = inside.groupBy(F.col("subject_id").alias("item_id")).agg(F.collect_list("end_pos").alias("marks")).withColumn("tab", F.lit("cdtw"))
+    lengths = gaps.where("tab = 'cdtw'").select(F.col("item_id").alias("subject_id"), "n")
+    marks = inner_marks(lengths, offsets).select(F.col("subject_id").alias("item_id"), "marks", F.lit("cdtw").alias("tab"))
     return parsed(gaps, marks)
 
 
@@ -128,9 +181,23 @@ def boundaries(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame) -> DataFr
 def pieces(wqueue: DataFrame, cdtw: DataFrame, offsets: DataFrame) -> DataFrame:
     """(tab, item_id, piece, start, end, natural, samples): the pieces of every list beyond the limit, a repeated item once.
 
-    The samples are sliced from the list beside its parsed pieces, joined on (tab, item_id).
+    The lists are cut up where they are read and never shuffled; only the marks of the subjects go to them, broadcast after
+    they were counted. Beyond BROADCAST_ROWS of them, lists of subjects and marks meet in a shuffle.
     """
-    lists = long_lists(wqueue, cdtw).dropDuplicates(["tab", "item_id"])
-    cut = lists.join(parse_lists(wqueue, cdtw, offsets).select("tab", "item_id", "pieces"), ["tab", "item_id"])
-    cut = cut.select("tab", "item_id", "samples", F.posexplode("pieces").alias("piece", "p"))
-    return cut.select("tab", "item_id", "piece", "p.start", "p.end", "p.natural", F.slice("samples", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("samples"))
+    queue = one_row_per_key(wqueue.where("item_id is not null").select("item_id", "m_reads"), "item_id")
+    subjects = one_row_per_key(cdtw.where("subject_id is not null").select("subject_id", "sub"), "subject_id")
+    marks = checkpointed(inner_marks(subjects.select("subject_id", F.size("sub").alias("n")).where(F.col("n") > LIMIT), offsets))
+    many = marks.agg(F.sum("__many")).first()[0] or 0
+    rows = long_lists(queue, subjects).where("tab = 'wqueue'").withColumn("marks", F.array().cast("array<bigint>"))
+    own = long_lists(queue, subjects).where("tab = 'cdtw'").join(broadcast_if_small(marks.select(F.col("subject_id").alias("item_id"), "marks"), many), "item_id", "left")
+    return cut_up(rows).unionByName(cut_up(own))
+
+
+def covered(cut: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(tab, item_id, n, fits, joined) of pieces: new samples in all, whether none is over the limit, whether each begins `overlap` before the last one's end."""
+    rows = cut.select("tab", "item_id", "piece", "start", "end", F.size("samples").alias("held"))
+    before = F.lag("end").over(Window.partitionBy("tab", "item_id").orderBy("piece"))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0)))
+    ok = (F.col("held") <= limit) & (F.col("held") == F.col("end") - F.col("start"))
+    joins = F.col("start") == F.greatest(F.col("before") - overlap, F.lit(0))
+    return rows.groupBy("tab", "item_id").agg(F.sum(F.col("end") - F.col("before")).alias("n"), F.bool_and(ok).alias("fits"), F.bool_and(joins).alias("joined"))

@@ -67,6 +67,11 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "wqueue"), table(spark, d, "cdtw"), table(spark, d, "subject_offsets"))
 
 
+def p4_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of each list that is cut up, whether its pieces cover it, fit and overlap as they must."""
+    return pieces.covered(p4_pieces(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_top(spark, d).select("query_number", "match_id")
 
@@ -102,7 +107,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncation.shares(truncation.scored(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_events, p3_percentiles, p3_summaries, p3_rank_errors, p4_found, p4_pieces, p5_found, p5_top, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_events, p3_percentiles, p3_summaries, p3_rank_errors, p4_found, p4_pieces, p4_cover, p5_found, p5_top, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
 
 BEST = """
   select query_number, match_id, p_value, match_ordinal, row_number() over (partition by query_number
@@ -121,6 +126,9 @@ SQL: dict[str, str] = {
     "p7_fill": "select doc_id, true as whole, true as fits, true as split_if_needed from documents where text is not null and text <> ''",
     "p5_found": f"select query_number, match_id from ({BEST}) where rank <= 5",
     "p5_top": f"select query_number, match_id, p_value, cast(rank as integer) as rank from ({BEST}) where rank <= 5",
+    "p4_cover": """
+select 'wqueue' as tab, item_id, len(any_value(m_reads)) as n, true as fits, true as joined from wqueue where len(m_reads) > 4096 group by item_id
+union all select 'cdtw', subject_id, len(sub), true, true from cdtw where len(sub) > 4096""",
     "p4_found": """
 with lists as (select 'wqueue' as tab, item_id, any_value(m_reads) as x from wqueue where len(m_reads) > 4096 group by item_id
                union all select 'cdtw', subject_id, sub from cdtw where len(sub) > 4096),
