@@ -98,7 +98,8 @@ def levels(items: DataFrame) -> DataFrame:
                 mid.append(float(np.median(y)) if len(y) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mid, pa.float64())], ["channel", "hour", "middle"])
 
-    mids = items.select("channel", "hour", "samples").mapInArrow(run, "channel bigint, hour int, middle double").where("middle is not null")
+    # a narrow row an item, read twice
+    mids = checkpointed(items.select("channel", "hour", "samples").mapInArrow(run, "channel bigint, hour int, middle double").where("middle is not null"))
     whole = mids.groupBy("channel").agg(F.percentile_approx("middle", 0.5, 1000).alias("whole"), F.count("*").alias("items"))
     hours = mids.groupBy("channel", "hour").agg(F.percentile_approx("middle", 0.5, 1000).alias("own"), F.count("*").alias("n"))
     weight = F.col("n") / (F.col("n") + OWN_ITEMS)
