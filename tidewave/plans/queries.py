@@ -311,8 +311,8 @@ def collinear_pairs(spark, d):
 
 @query
 def chain_extents(spark, d):
-    found = an.anchors(event_tiles(spark, d, 10, 64), an.query_blocks(vectors(spark, d), 10), 10, bucket=64)
-    return ch.chains(found, 10).drop("anchors", "dists")
+    found = ch.searched(event_tiles(spark, d, 10, 64), an.query_blocks(vectors(spark, d), 10), 10, bucket=64)
+    return found.where(F.col("kind") == ch.CHAIN).drop("kind", "anchors", "dists")
 
 
 @query
