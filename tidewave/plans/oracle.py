@@ -81,6 +81,54 @@ def anchors(size: int, warp: int | None, bucket: int = 1024) -> str:
     return f"(select query_id, bucket, block, arg_min(pos, ({dist}, pos)) as pos, min({dist}) as dist from ({sql}) group by 1, 2, 3)"
 
 
+def collinear(i: int, j: str) -> str:
+    """Whether block j's anchor lies where block i's lets it be, a quarter more or less."""
+    gap = f"10 * ({j} - {i})"
+    return f"p[{j}] >= p[{i}] + floor({gap} * 0.75) and p[{j}] <= p[{i}] + floor({gap} * 1.25)"
+
+
+def chain_extents(blocks: int = 6) -> str:
+    """Chains of each bucket: memberships seed by seed, then a longest increasing subsequence, the latest of equals."""
+    sql = f"select query_id, bucket, list(pos order by block) as p, [{', '.join(['-1'] * blocks)}] as m, 0 as num from {anchors(10, None, 64)} group by 1, 2"
+    for i in range(1, blocks + 1):
+        free = f"m[j] < 0 and {collinear(i, 'j')}"
+        some = f"len(list_filter(range({i + 1}, {blocks + 1}), lambda j: {free})) > 0"
+        joins = f"list_transform(range(1, {blocks + 1}), lambda j: case when j = {i} or (j > {i} and {free}) then num else m[j] end)"
+        sql = f"select query_id, bucket, p, case when m[{i}] < 0 and {some} then {joins} else m end as m, num + case when m[{i}] < 0 then 1 else 0 end as num from ({sql})"
+    sql = f"select query_id, bucket, p, g, list_filter(range(1, {blocks + 1}), lambda j: m[j] = g) as w from (select *, unnest(list_distinct(list_filter(m, lambda x: x >= 0))) as g from ({sql}))"
+    sql = f"select query_id, bucket, g, w, list_transform(w, lambda j: p[j]) as x, len(w) as n, [1] as l from ({sql})"
+    for i in range(2, blocks + 1):
+        sql = f"select * exclude (l), case when n >= {i} then list_append(l, 1 + list_max(list_transform(range(1, {i}), lambda k: case when x[k] < x[{i}] then l[k] else 0 end))) else l end as l from ({sql})"
+    sql = f"select *, list_max(l) as top from ({sql})"
+    sql = f"select *, list_max(list_filter(range(1, n + 1), lambda k: l[k] = top)) as last from ({sql})"
+    sql = f"select *, last as c from ({sql})"
+    for _ in range(blocks - 1):
+        sql = f"select * exclude (c), case when l[c] > 1 then list_max(list_filter(range(1, c), lambda k: l[k] = l[c] - 1)) else c end as c from ({sql})"
+    return f"""select query_id, cast(0 as bigint) as subject_id, bucket, cast(g as integer) as member, cast((w[c] - 1) * 10 as integer) as left_query,
+  cast((w[last] - 1) * 10 as integer) as right_query, x[c] as left_subject, x[last] as right_subject, cast(top as integer) as num_anchors from ({sql}) where top > 1"""
+
+
+NEAREST = """
+with flat as (select subject_id, unnest(sub) as v, unnest(range(len(sub))) as pos, len(sub) as n from cdtw where len(sub) >= 64),
+sound as (select subject_id, pos, n, case when isfinite(v) then cast(v as double) end as v from flat),
+w as (select subject_id, pos, n, count(v) over f as k, avg(v) over f as mean, stddev_pop(v) over f as sd from sound
+      window f as (partition by subject_id order by pos rows between current row and 63 following)),
+q as (select vec_id as query_id, list_transform(embedding, lambda x: cast(x as double) * 100) as x from embeddings where vec_id % 100 = 0),
+z as (select query_id, unnest(range(64)) as k, unnest(list_transform(x, lambda v: (v - list_avg(x)) / list_stddev_pop(x))) as z from q),
+dots as (select query_id, subject_id, pos - k as pos, sum(v * z) as dot from sound, z where pos >= k group by 1, 2, 3),
+d as (select query_id, subject_id, pos, case when sd > 0 then sqrt(greatest(128 - 2 * dot / sd, 0)) else 8.0 end as dist
+      from w join dots using (subject_id, pos) where k = 64 and pos <= n - 64)
+select query_id, subject_id, arg_min(pos, (round(dist, 9), pos)) as pos, round(min(dist), 6) as dist from d group by 1, 2"""
+
+PAIRS = """
+with q as (select vec_id as query, list_transform(embedding, lambda v: cast(v as double)) as a from embeddings where vec_id % 100 = 0),
+s as (select vec_id, list_transform(embedding, lambda v: cast(v as double)) as b from embeddings)
+select query, vec_id, round(sqrt(list_reduce(list_transform(a[2:], lambda v: [v]), lambda up, v:
+    list_reduce(list_transform(range(2, len(b) + 1), lambda j: [cast(j as double)]), lambda r, j: list_append(r, (v[1] - b[cast(j[1] as bigint)]) ** 2
+        + least(r[len(r)], up[cast(j[1] as bigint)], up[cast(j[1] as bigint) - 1])), [up[1] + (v[1] - b[1]) ** 2]),
+  list_reduce(list_transform(range(2, len(b) + 1), lambda j: [cast(j as double)]), lambda r, j: list_append(r, r[len(r)] + (a[1] - b[cast(j[1] as bigint)]) ** 2), [(a[1] - b[1]) ** 2]))[len(b)]), 6) as distance
+from q, s where query <> vec_id"""
+
 FDR = "least(1.0, n * p_value / rank)"
 SQL: dict[str, str] = {
     "stats_items": stats("item_id"),
@@ -134,6 +182,9 @@ select name, cast(max(p) as integer) as prefix_len, cast(least(max(p) + 3, max(n
     "collinear_pairs": f"""select query_id, bucket, cast(block as integer) as block, cast(nb as integer) as next_block from (
 select *, lead(block) over w as nb, lead(pos) over w as np from {anchors(10, None, 64)} window w as (partition by query_id, bucket order by block))
 where np >= pos + floor(10 * (nb - block) * 0.75) and np <= pos + floor(10 * (nb - block) * 1.25)""",
+    "chain_extents": chain_extents(),
+    "nearest_window": NEAREST,
+    "dtw_pairs": PAIRS,
     "in_strand_average": """select user_id, bool_or(n = 10 and mean between 40.0 and 60.0) as in_strand from (
 select user_id, avg(value) over w as mean, count(value) over w as n from events window w as (partition by user_id order by ts, event_id rows 9 preceding)) group by 1""",
     "in_strand_ranges": """select user_id, event_id as "start", coalesce(lead_id, most + 1) as "end" from (
