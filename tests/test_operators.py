@@ -1,5 +1,6 @@
 """Statistics, ranks, intervals, encoding, segmentation, sources and streams on small tables with awkward rows."""
 
+import datetime as dt
 import struct
 
 import numpy as np
@@ -13,6 +14,8 @@ from tidewave.sources import fast5, readers
 from tidewave.sources.stream import channel_range, chunk_stream
 from tidewave.streaming import online
 
+T0 = dt.datetime(2024, 1, 1)
+
 
 def test_stats_goldens(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 11)] + [("b", 1.0), ("c", None), ("a", float("nan"))], "k string, v double")
@@ -274,19 +277,75 @@ def test_channel_range(spark):
     assert [r[0] for r in df.select(channel_range("c", 1, 512, 5)).collect()] == [0, 0, 1, 4, None, None]
 
 
-def test_stream_state_and_decisions(spark, tmp_path):
+def test_stream_decisions_are_written_by_batch(spark, tmp_path):
     for i, x in enumerate(([1.0, 2.0], [3.0], [4.0, float("nan")])):
         spark.createDataFrame([(i, 7, x)], "seq long, channel int, samples array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    s = chunk_stream(spark, str(tmp_path / "in"), "seq long, channel int, samples array<double>", files_per_batch=3)
-    out = online.online_znorm(s, "channel", ["seq"], "samples", reset=lambda r: r["seq"] == 1)
-    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.seq: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert sum(got.values()) in (6, 7) and got[min(got)] >= 1
     q = online.decide_stream(chunk_stream(spark, str(tmp_path / "in"), "seq long, channel int, samples array<double>"), lambda b: b.selectExpr("channel", "seq", "'accept' as action"), str(tmp_path / "decided"), str(tmp_path / "dstate"), ["channel", "seq"])
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "decided")).count() == 3
 
 
+def one_by_one(rows, carried, resets=()):
+    """(n, mean, ssq, z) after each chunk (seq, channel, samples), one after the other."""
+    states, out = dict(carried), {}
+    for seq, channel, x in sorted(rows, key=lambda r: r[0]):
+        z, *state = online.welford_chunk(np.array([np.nan if v is None else v for v in x or []], float), *states.get(channel, (0, 0.0, 0.0)))
+        out[seq] = (*state, z)
+        states[channel] = (0, 0.0, 0.0) if seq in resets else tuple(state)
+    return out, states
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_states_equal_one_by_one(spark, parts):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [7, 7, 7, 8, None][i % 5], (1e4 + rng.normal(size=rng.integers(1, 9))).tolist()) for i in range(120)]
+    rows[20], rows[21], rows[22] = (20, 7, None), (21, 7, []), (22, 7, [None, float("nan"), 10001.0])
+    df = spark.createDataFrame(rows, "seq long, channel int, samples array<double>").withColumn("n0", F.lit("x")).repartition(parts)
+    before = {7: (5, 1e4, 3.0)}
+    carried = spark.createDataFrame([(7, 5, 1e4, 3.0)], "channel int, n long, mean double, ssq double")
+    resets = {31, 32, 66}
+    want, _ = one_by_one(rows, before, resets)
+    got = online.running_states(df, "channel", ["seq"], "samples", carried, F.col("seq").isin(*resets)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, mean, ssq, z = want[r.seq]
+        assert r.n == n and r.mean == pytest.approx(mean) and r.ssq == pytest.approx(ssq, abs=1e-5) and r.z == pytest.approx(z.tolist(), nan_ok=True, abs=1e-6)
+
+
+def test_live_search_equals_one_by_one(spark, tmp_path):
+    from tidewave.plans.search import Settings, search
+    from tidewave.streaming.live import live, read_decisions
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(500, 80, 1500)
+    subjects = spark.createDataFrame([(1, x.tolist())], "subject_id long, values array<double>")
+    settings = Settings(max_p=0.01, bucket=128, mode="none")
+    batches = [[(1, 7, rng.normal(90, 9, 120)), (2, 7, rng.normal(90, 9, 60)), (3, 8, x[300:420] * 0.2)], [(4, 7, x[700:860] * 0.3 + 20), (5, 8, rng.normal(90, 9, 60)), (3, 8, x[300:420] * 0.2)], [(6, 7, rng.normal(40, 9, 80)), (7, 8, rng.normal(90, 9, 50))]]
+    states, want, done = {}, {}, set()
+    for k, batch in enumerate(batches):
+        rows = [(i, c, v.tolist()) for i, c, v in batch if i not in done]
+        done |= {r[0] for r in rows}
+        out, new = one_by_one(rows, states)
+        q = spark.createDataFrame([(i, (out[i][3] * x.std() + x.mean()).tolist()) for i, *_ in rows], "query_id long, values array<double>")
+        hit = {r.query_id for r in search(subjects, q, settings).collect()}
+        want |= {i: "eject" if i in hit else "none" for i, *_ in rows}
+        for c in {r[1] for r in rows}:
+            ejected = [i for i, d, _ in rows if d == c and i in hit]
+            if ejected:  # the channel starts afresh after the last one
+                _, new = one_by_one([r for r in rows if r[1] == c and r[0] > max(ejected)], {**new, c: (0, 0.0, 0.0)})
+        states = new
+        made = spark.createDataFrame([(i, c, T0 + dt.timedelta(seconds=i), v.tolist()) for i, c, v in batch], "item_id long, channel long, at timestamp, samples array<double>")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live(chunk_stream(spark, str(tmp_path / "in"), "item_id long, channel long, at timestamp, samples array<double>"), subjects, settings, str(tmp_path / "live"), negative=True).awaitTermination()
+        held = {r.channel: (r.n, r.mean) for r in spark.read.parquet(str(tmp_path / f"live/states/batch={k}")).collect()}
+        for c, (n, mean, _) in states.items():
+            assert held.get(c, (0, 0.0)) == (n, pytest.approx(mean))
+    got = {r.item_id: r.action for r in read_decisions(spark, str(tmp_path / "live")).collect()}
+    assert got == want and {"eject", "none"} <= set(got.values())
+
+
 def test_channel_states_merge_in_the_tasks(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, 7 if i % 3 else i % 5, (1e5 + rng.normal(size=20)).tolist()) for i in range(600)] + [(600, 7, None), (601, 7, []), (602, 9, None), (603, 7, [float("nan"), 2e6, None])]

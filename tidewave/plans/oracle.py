@@ -183,6 +183,8 @@ select name, cast(max(p) as integer) as prefix_len, cast(least(max(p) + 3, max(n
 select *, lead(block) over w as nb, lead(pos) over w as np from {anchors(10, None, 64)} window w as (partition by query_id, bucket order by block))
 where np >= pos + floor(10 * (nb - block) * 0.75) and np <= pos + floor(10 * (nb - block) * 1.25)""",
     "chain_extents": chain_extents(),
+    "sorted_distance_sample": f"""select query_id, cast(block as integer) as block, row_number() over (partition by query_id, block order by dist, bucket) - 1 as place, round(dist, 4) as dist from (
+select *, row_number() over (partition by query_id, block order by bucket) - 1 as b from {anchors(10, None, 64)}) where b % 4 = 0""",
     "nearest_window": NEAREST,
     "dtw_pairs": PAIRS,
     "in_strand_average": """select user_id, bool_or(n = 10 and mean between 40.0 and 60.0) as in_strand from (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,9 @@ from tidewave.operators import chains as ch
 from tidewave.operators import decide, dtw, intervals, normalize, prefix, rank, ranksum, segment, spikes, states, subject
 from tidewave.plans import oracle
 from tidewave.plans.search import Settings, search
-from tidewave.session import checkpoint_folder, one_row_per_key, spread, table
+from tidewave.session import checkpointed, new_folder, one_row_per_key, remove_folder, spread, table
 from tidewave.sources.stream import channel_range, chunk_stream
+from tidewave.streaming.live import live, read_decisions
 from tidewave.streaming.online import channel_states, chunk_states, in_strand
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,13 @@ def strided_sample(spark, d):
     return normalize.strided_sample(table(spark, d, "events"), "event_id", 16, "value")
 
 
+@query
+def sorted_distance_sample(spark, d):
+    """Of each query block, the least distances in every fourth bucket of the events, sorted."""
+    found = an.anchors(event_tiles(spark, d, 10, 64), an.query_blocks(vectors(spark, d), 10), 10, bucket=64)
+    return rounded(normalize.sorted_sample(found, 4), "dist", digits=4)
+
+
 # subjects
 
 
@@ -380,6 +387,23 @@ def channel_parts(spark, d):
     return rows.groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query
+def stream_decisions(spark, d):
+    """The queue as a live stream, of the items whose id is divisible by 100: each searched in the subjects and decided on.
+
+    The subjects are read once and written beside the stream, as every batch searches them.
+    """
+    folder = new_folder(spark, "live")
+    chunk = "item_id bigint, m_channel_num bigint, m_reads array<float>, queued_at timestamp_ntz"
+    source = chunk_stream(spark, f"{d}/wqueue.parque[t]", chunk).where("m_channel_num between 1 and 512 and item_id % 100 = 0")
+    chunks = source.select("item_id", F.col("m_channel_num").alias("channel"), F.col("queued_at").alias("at"), F.col("m_reads").alias("samples"))
+    subjects, _ = subjects_and_queries(spark, d)
+    live(chunks, subjects, Settings(min_segment_query=6, max_p=0.05), folder).awaitTermination()
+    out = checkpointed(read_decisions(spark, folder))
+    remove_folder(spark, folder)
+    return rounded(out.drop("batch"), "p_value", digits=9)
+
+
 @query
 def stream_channel_state(spark, d):
     """The running state of each channel after the whole queue went through the stream."""
@@ -387,7 +411,7 @@ def stream_channel_state(spark, d):
 
 
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
-    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4()}"
+    folder = new_folder(spark, "stream")
     chunk = "item_id bigint, m_channel_num bigint, m_reads array<float>, queued_at timestamp_ntz"
     # a glob, so that the table may be one file or a folder of them
     source = chunk_stream(spark, f"{d}/wqueue.parque[t]", chunk).where("m_channel_num between 1 and 512")
@@ -396,7 +420,8 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     out = channel_states(chunks.dropDuplicates(["item_id"]), "channel")
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
-    last = rows.groupBy("channel").agg(F.max(F.struct("n", "mean", "ssq")).alias("s"))
+    last = checkpointed(rows.groupBy("channel").agg(F.max(F.struct("n", "mean", "ssq")).alias("s")))
+    remove_folder(spark, folder)
     return rounded(last.select("channel", "s.n", "s.mean", "s.ssq"), "mean", digits=4).withColumn("ssq", F.round(F.col("ssq") / F.greatest("n", F.lit(1)), 3))
 
 

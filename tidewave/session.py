@@ -55,6 +55,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that the engine made, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the checkpoint folder, its lineage cut: for wide rows, which compress well and are read by column."""
     folder = new_folder(df.sparkSession, "table")
