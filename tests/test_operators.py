@@ -214,6 +214,69 @@ def test_binary_fasta_bed_index(spark, tmp_path):
     assert [(r.name, r.start, r.end) for r in readers.read_index(spark, str(tmp_path / "a.idx")).orderBy("seq_id").collect()] == [(">a", 0, 10), (">b", 10, 25)]
 
 
+def test_bed_is_checked_before_it_is_read(spark, tmp_path):
+    for name, text in (("empty", ""), ("few", "a\t1"), ("late", "a\t1\t2\nb\t2\tx")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            readers.read_bed(spark, str(tmp_path / name))
+
+
+def test_fasta_splits_at_headers(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    want = [(f">s{i} x>y", "".join(rng.choice(list("acgt"), 70)).upper()) for i in range(400)]
+    text = "".join(f"{n}\r\n{s[:40].lower()}\r\n\r\n{s[40:]}\r\n" for n, s in want)
+    (tmp_path / "a.fna").write_text("ACGT\n" + text, newline="")
+    (tmp_path / "b.fna").write_text("\n>last")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        df = readers.read_fasta(spark, str(tmp_path / "*.fna"))
+        assert df.rdd.getNumPartitions() > 3
+        assert sorted(map(tuple, df.collect())) == sorted([*want, (">last", "")])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_folder_of_mixed_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1\n2\n")
+    (tmp_path / "b.tsv").write_text("n\t3\t4\n")
+    (tmp_path / "c.bin").write_bytes(struct.pack("<2f", 5, 6))
+    (tmp_path / "d.fna").write_text(">f\nACGTA\n")
+    (tmp_path / "e.log").write_text("not read")
+    code = lambda df: df.selectExpr("name", "array(double(length(sequence))) as values")
+    got = {r.name: r["values"] for r in readers.read_series(spark, str(tmp_path), code).collect()}
+    assert got == {"a.txt": [1.0, 2.0], "n": [3.0, 4.0], "c.bin": [5.0, 6.0], ">f": [5.0]}
+    series, stats = readers.load_subject(spark, str(tmp_path / "a.txt"))
+    assert stats.first()["mean"] == 1.5 and series.count() == 1
+    (tmp_path / "std").mkdir()
+    (tmp_path / "std" / "a.txt").write_text("0.5\n")
+    with pytest.raises(ValueError):
+        readers.load_subject(spark, str(tmp_path / "a.txt"), std=str(tmp_path / "std" / "a.txt"))
+    (tmp_path / "std" / "a.txt").write_text("0.5\n0.25\n")
+    assert readers.load_subject(spark, str(tmp_path / "a.txt"), std=str(tmp_path / "std" / "a.txt"))[0].first()["std"] == [0.5, 0.25]
+    with pytest.raises(ValueError):
+        (tmp_path / "std" / "a.txt").rename(tmp_path / "std" / "a.log")
+        readers.read_series(spark, str(tmp_path / "std"))
+
+
+def test_fast5_partitions_open_no_file(tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.fast5").write_bytes(b"not opened")
+    parts = lambda **o: [(p.path[-7:], p.channel, p.first) for p in fast5.Fast5Reader({"path": str(tmp_path), **o}).partitions()]
+    assert parts() == [("a.fast5", None, True), ("b.fast5", None, True)]
+    assert parts(channels="1-2")[:2] == [("a.fast5", "Channel_1", True), ("a.fast5", "Channel_2", False)]
+    bulk = {"Raw": {"Channel_1": {"Signal": [4, 5]}, "Channel_2": {"Signal": [6]}}}
+    assert [n for n, _ in fast5.reads(bulk, fast5.ReadsPartition(""))] == ["Channel_1_0_2", "Channel_2_0_1"]
+    assert [n for n, _ in fast5.reads(bulk, fast5.ReadsPartition("", "Channel_2"))] == ["Channel_2_0_1"] and not list(fast5.reads(bulk, fast5.ReadsPartition("", "Channel_9")))
+    assert not list(fast5.reads({"read_a": {"Raw": {"Signal": [1]}}}, fast5.ReadsPartition("", "Channel_2", first=False)))
+
+
+def test_model_with_repeated_kmers_is_refused(spark):
+    model = spark.createDataFrame([(3, 1.0), (3, 2.0)], "kmer_idx int, mean double")
+    with pytest.raises(ValueError):
+        en.model_values(model, 5)
+
+
 def test_decode_samples(spark):
     df = spark.createDataFrame([(bytearray(struct.pack("<2h", 5, -3)),), (None,)], "b binary")
     assert [r[0] for r in df.select(readers.decode_samples("b")).collect()] == [[5.0, -3.0], None]

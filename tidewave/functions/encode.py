@@ -53,10 +53,13 @@ def kmer_indexes(seq: Column | str, k: int) -> Column:
 
 
 def model_values(model: DataFrame, k: int, signal_type: int = 0) -> np.ndarray:
-    """Expected readings by k-mer number. A model has 4**k rows, so its size is fixed; missing rows are NaN."""
+    """Expected readings by k-mer number, 4**k of them; missing rows are NaN, a k-mer with several raises ValueError."""
     out = np.full(4**k, np.nan)
-    for r in model.where(F.col("kmer_idx").between(0, 4**k - 1)).select("kmer_idx", F.col(SIGNAL_TYPES[signal_type]).cast("double").alias("v")).limit(4**k).collect():
-        out[r["kmer_idx"]] = r["v"]
+    rows = model.where(F.col("kmer_idx").between(0, 4**k - 1)).groupBy("kmer_idx").agg(F.first(F.col(SIGNAL_TYPES[signal_type]).cast("double")).alias("v"), F.count("*").alias("n"))
+    for r in rows.collect():  # a row a k-mer
+        if r["n"] > 1:
+            raise ValueError(f"k-mer {r['kmer_idx']} has {r['n']} rows in the model")
+        out[r["kmer_idx"]] = r["v"] if r["v"] is not None else np.nan
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.session import checkpointed
+from tidewave.session import broadcast_if_small, checkpointed
 
 
 def unique_prefixes(seqs: DataFrame, key: str, seq: str, extra: int = 3) -> DataFrame:
@@ -23,33 +23,45 @@ def unique_prefixes(seqs: DataFrame, key: str, seq: str, extra: int = 3) -> Data
     """
     kind = seqs.schema[key].dataType.simpleString()
     rows = seqs.select(F.col(key).alias("key"), F.col(seq).alias("seq")).where("seq is not null").repartitionByRange("seq", "key").sortWithinPartitions("seq", "key")
+    names = ["key", "len", "best", "part", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        keys: list = []
-        texts: list[str] = []
+        part, held = TaskContext.get().partitionId(), None  # held: the last row so far, whose next neighbour is not yet seen
+        types = [k, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
         for b in batches:
-            keys += b.column(0).to_pylist()
-            texts += b.column(1).to_pylist()
-        shared = [len(commonprefix([a, b])) for a, b in zip(texts, texts[1:])]
-        best = [max(a, b) for a, b in zip([0, *shared], [*shared, 0])] if texts else []
-        n = len(texts)
-        edge = [t if i in (0, n - 1) else None for i, t in enumerate(texts)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, k), pa.array([len(t) for t in texts], pa.int32()), pa.array(best, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([i == 0 for i in range(n)], pa.bool_()), pa.array([i == n - 1 for i in range(n)], pa.bool_()), pa.array(edge, pa.string())], ["key", "len", "best", "part", "first", "last", "edge"])
+            out = []
+            for key_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                row = [key_, len(text), 0, part, text if held is None else None, text]
+                if held is not None:
+                    row[2] = shared = len(commonprefix([held[5], text]))
+                    out.append([*held[:2], max(held[2], shared), *held[3:5], None])
+                held = row
+            if out:
+                yield pack(out)
+        if held is not None:
+            yield pack([held])
 
     k = pa.string() if kind == "string" else pa.int64()
-    found = checkpointed(rows.mapInArrow(run, f"key {kind}, len int, best int, part int, first boolean, last boolean, edge string"))
-    edges = found.where("first or last").groupBy("part").agg(F.max(F.when(F.col("first"), F.col("edge"))).alias("a"), F.max(F.when(F.col("last"), F.col("edge"))).alias("z"))
+    found = checkpointed(rows.mapInArrow(run, f"key {kind}, len int, best int, part int, first string, last string"))
+    # the numbers of the tasks are put in order, a narrow row each; the texts at their edges then meet by an equi-join
     w = Window.orderBy("part")
-    edges = edges.select("part", "a", "z", F.lag("z").over(w).alias("before"), F.lead("a").over(w).alias("after"))
+    order = found.select("part").distinct().select(F.col("part").alias("here"), F.lead("part").over(w).alias("next"))
+    ends = found.where("last is not null").select(F.col("part").alias("up_part"), "last").join(order, F.col("up_part") == F.col("here"))
+    begins = found.where("first is not null").select(F.col("part").alias("down_part"), "first")
+    pairs = ends.join(begins, F.col("next") == F.col("down_part")).select("up_part", "down_part", "last", "first")
 
-    def lcp(x: F.Column, y: F.Column) -> F.Column:
-        most = F.least(F.length(x), F.length(y))
-        differ = F.filter(F.sequence(F.lit(1), most), lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
-        return F.when(x.isNotNull() & y.isNotNull() & (most > 0), F.coalesce(F.array_min(differ) - 1, most)).otherwise(F.lit(0))
+    def edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared = [len(commonprefix([x, y])) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.int32())], ["up_part", "down_part", "shared"])
 
-    edges = edges.select("part", lcp(F.col("a"), F.col("before")).alias("up"), lcp(F.col("z"), F.col("after")).alias("down"))
-    out = found.join(F.broadcast(edges), "part")
+    edges = checkpointed(pairs.mapInArrow(edge, "up_part int, down_part int, shared int"))
+    many = edges.count()
+    up = broadcast_if_small(edges.select(F.col("down_part").alias("part"), F.col("shared").alias("up")), many)
+    down = broadcast_if_small(edges.select(F.col("up_part").alias("part"), F.col("shared").alias("down")), many)
     zero = F.lit(0)
-    prefix = F.greatest("best", F.when(F.col("first"), F.col("up")).otherwise(zero), F.when(F.col("last"), F.col("down")).otherwise(zero))
+    narrow = found.select("key", "len", "best", "part", F.col("first").isNotNull().alias("first"), F.col("last").isNotNull().alias("last"))
+    out = narrow.join(up, "part", "left").join(down, "part", "left")
+    prefix = F.greatest("best", F.when(F.col("first"), F.coalesce("up", zero)).otherwise(zero), F.when(F.col("last"), F.coalesce("down", zero)).otherwise(zero))
     return out.select(F.col("key").alias(key), prefix.alias("prefix_len"), F.least(prefix + extra, F.col("len")).alias("kept_len"), (F.col("len") - prefix).alias("suffix_len"))

@@ -63,8 +63,8 @@ BASES = "regexp_replace(translate(text, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'A', 'g'
 DNA_BASES = "regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'A', 'g')"
 
 
-def anchors(size: int, warp: int | None, bucket: int = 1024) -> str:
-    """Best window of each bucket and block, the alignment written out cell by cell."""
+def anchors(size: int, warp: int | None, bucket: int = 1024, more: str = "") -> str:
+    """Best window of each bucket and block, the alignment written out cell by cell; `more` is added to the cost of subject offset {j}."""
     rows = band(size, warp)
     leads = ", ".join(f"lead(value, {j}) over (order by event_id) as s{j}" for j in range(size))
     sql = f"""select query_id, bucket, block, pos, q, {', '.join(f's{j}' for j in range(size))}
@@ -75,7 +75,7 @@ def anchors(size: int, warp: int | None, bucket: int = 1024) -> str:
     for i, cols in enumerate(rows):  # a select for each cell: aliases within one would be expanded again and again
         for j in cols:
             froms = [f"c{a}_{b}" for a, b in ((i - 1, j), (i - 1, j - 1), (i, j - 1)) if a >= 0 and b >= 0 and b in rows[a]]
-            cost = f"(q[{i + 1}] - s{j}) * (q[{i + 1}] - s{j})"
+            cost = f"(q[{i + 1}] - s{j}) * (q[{i + 1}] - s{j})" + more.replace("{j}", str(j))
             sql = f"select *, {cost}{' + least(' + ', '.join(froms) + ')' if froms else ''} as c{i}_{j} from ({sql})"
     dist = f"c{size - 1}_{size - 1}"
     return f"(select query_id, bucket, block, arg_min(pos, ({dist}, pos)) as pos, min({dist}) as dist from ({sql}) group by 1, 2, 3)"
@@ -120,15 +120,46 @@ d as (select query_id, subject_id, pos, case when sd > 0 then sqrt(greatest(128
       from w join dots using (subject_id, pos) where k = 64 and pos <= n - 64)
 select query_id, subject_id, arg_min(pos, (round(dist, 9), pos)) as pos, round(min(dist), 6) as dist from d group by 1, 2"""
 
-PAIRS = """
+def pairs(first: str, last: str) -> str:
+    """Pairwise alignment row by row: `first` gives the row of the query's first sample, `last` picks the cost from the last row."""
+    return f"""
 with q as (select vec_id as query, list_transform(embedding, lambda v: cast(v as double)) as a from embeddings where vec_id % 100 = 0),
 s as (select vec_id, list_transform(embedding, lambda v: cast(v as double)) as b from embeddings)
 select query, vec_id, round(sqrt(list_reduce(list_transform(a[2:], lambda v: [v]), lambda up, v:
     list_reduce(list_transform(range(2, len(b) + 1), lambda j: [cast(j as double)]), lambda r, j: list_append(r, (v[1] - b[cast(j[1] as bigint)]) ** 2
         + least(r[len(r)], up[cast(j[1] as bigint)], up[cast(j[1] as bigint) - 1])), [up[1] + (v[1] - b[1]) ** 2]),
-  list_reduce(list_transform(range(2, len(b) + 1), lambda j: [cast(j as double)]), lambda r, j: list_append(r, r[len(r)] + (a[1] - b[cast(j[1] as bigint)]) ** 2), [(a[1] - b[1]) ** 2]))[len(b)]), 6) as distance
+  {first}){last}), 6) as distance
 from q, s where query <> vec_id"""
 
+
+CLOSED = "list_reduce(list_transform(range(2, len(b) + 1), lambda j: [cast(j as double)]), lambda r, j: list_append(r, r[len(r)] + (a[1] - b[cast(j[1] as bigint)]) ** 2), [(a[1] - b[1]) ** 2])"
+OPEN = "list_transform(b, lambda v: (a[1] - v) ** 2)"
+
+
+
+def encoded(k: int, bases: str, strands: tuple[bool, bool], value: str) -> str:
+    """Number and sum of the model's values along the chosen strands of each text."""
+    texts = " union all ".join(t for t, on in ((f"select doc_id, {bases} as s from documents where text is not null", strands[0]), (f"select doc_id, reverse(translate({bases}, 'ACGT', 'TGCA')) as s from documents where text is not null", strands[1])) if on)
+    number = " + ".join(f"(instr('ACGT', substr(s, i + {j}, 1)) - 1) * {4 ** (k - 1 - j)}" for j in range(k))
+    return f"""select d.doc_id, cast(count(k) as integer) as n, round(coalesce(sum(coalesce(v, 0.0)), 0.0), 2) as total from documents d
+left join (select doc_id, {number} as k from (select doc_id, s, unnest(range(1, len(s) - {k - 2})) as i from ({texts}))) using (doc_id)
+left join (select event_id % {4**k} as m, {value} as v from events group by 1) on k = m where d.text is not null group by 1"""
+
+
+def piece(n: int) -> str:
+    """Least cost of aligning samples n .. n + 15 by absolute differences, the first step being diagonal."""
+    a, b = f"a[{n + 1}:{n + 16}]", f"b[{n + 1}:{n + 16}]"
+    far = "cast('inf' as double)"
+    return f"""list_reduce(list_transform({a}[2:], lambda v: [v]), lambda up, v:
+    list_reduce(list_transform(range(2, 17), lambda j: [cast(j as double)]), lambda r, j: list_append(r, abs(v[1] - {b}[cast(j[1] as bigint)])
+        + least(r[len(r)], up[cast(j[1] as bigint)], up[cast(j[1] as bigint) - 1])), [{far}]),
+  list_transform(range(1, 17), lambda j: case when j = 1 then abs({a}[1] - {b}[1]) else {far} end))[16]"""
+
+
+STITCHED = f"""select vec_id, round({' + '.join(piece(n) for n in range(0, 64, 16))}, 6) as cost from (
+select q.vec_id, list_transform(q.embedding, lambda v: cast(v as double)) as a, list_transform(s.embedding, lambda v: cast(v as double)) as b
+from embeddings q join embeddings s on s.vec_id = q.vec_id + 1 where q.vec_id % 100 = 0)"""
+
 FDR = "least(1.0, n * p_value / rank)"
 SQL: dict[str, str] = {
     "stats_items": stats("item_id"),
@@ -147,7 +178,8 @@ from events window w as (partition by user_id order by ts, event_id rows unbound
     "sequence_spans": f"select * from {SPANS}",
     "locate_position": f"select match_id, seq_name, local_pos from {LOCATED}",
     "interval_overlap": f'select a.match_id, a.name, b."start" as r_start, b.stop as r_stop from {PLACED} a join {BED} b on a.name = b.name and {OVERLAP}',
-    "interval_overlap_any_name": f'select a.match_id, count(*) as n from {PLACED} a join {BED} b on {OVERLAP} and b.stop - b."start" > 2000 group by 1',
+    "interval_overlap_any_name": f'select a.match_id, count(*) as n from {PLACED} a join {BED} b on {OVERLAP} group by 1',
+    "interval_overlap_any_name_all": f'select a.match_id, count(*) as n from {PLACED} a join {BED} b on {OVERLAP} group by 1',
     "interval_contained": f'select a.name, a."start", a.stop, b.match_id as r_match_id from {BED} a join {PLACED} b on a.name = b.name and b."start" <= b.stop and b."start" >= a."start" and b.stop <= a.stop',
     "interval_stab": f'select a.match_id, b."start" as r_start, b.stop as r_stop from {PLACED} a join {BED} b on a.name = b.name and a."start" between b."start" and b.stop',
     "interval_semi": f"select match_id from {HIT}",
@@ -178,15 +210,23 @@ pairs as (select name, seq, unnest([lag(seq) over o, lead(seq) over o]) as other
 shared as (select name, len(seq) as n, coalesce(len(list_filter(range(1, least(len(seq), len(other)) + 1), lambda i: left(seq, i) = left(other, i))), 0) as p from pairs)
 select name, cast(max(p) as integer) as prefix_len, cast(least(max(p) + 3, max(n)) as integer) as kept_len, cast(max(n) - max(p) as integer) as suffix_len from shared group by name""",
     "mini_dtw_hard": f"select query_id, bucket, cast(block as integer) as block, pos, round(dist, 4) as dist from {anchors(10, None)}",
+    "mini_dtw_deviation": f"select query_id, bucket, cast(block as integer) as block, pos, round(dist, 4) as dist from {anchors(10, None, more=' + (3 - (pos + {j}) % 7) ** 2')}",
     "mini_dtw_soft": f"select query_id, bucket, cast(block as integer) as block, pos, round(dist, 4) as dist from {anchors(12, 3)}",
     "collinear_pairs": f"""select query_id, bucket, cast(block as integer) as block, cast(nb as integer) as next_block from (
 select *, lead(block) over w as nb, lead(pos) over w as np from {anchors(10, None, 64)} window w as (partition by query_id, bucket order by block))
 where np >= pos + floor(10 * (nb - block) * 0.75) and np <= pos + floor(10 * (nb - block) * 1.25)""",
+    "encode_signal": encoded(5, BASES, (True, True), "avg(value)"),
+    "encode_signal_dna": encoded(6, DNA_BASES, (True, True), "avg(value)"),
+    "encode_signal_complement_sd": encoded(6, DNA_BASES, (False, True), "coalesce(stddev_pop(value), 0.0)"),
+    "stitched_pairs": STITCHED,
+    "latest_samples": """select item_id, cast(len(h) as integer) as n, round(coalesce(list_sum(list_transform(h, lambda v: case when v is null or isnan(v) or abs(v) >= 1e6 then 0.0 else cast(v as double) end)), 0.0), 3) as total from (
+  select item_id, list_concat(x[1:10], x)[-100:] as h from (select item_id, any_value(m_reads) as x from wqueue group by item_id) where len(x) > 0)""",
     "chain_extents": chain_extents(),
     "sorted_distance_sample": f"""select query_id, cast(block as integer) as block, row_number() over (partition by query_id, block order by dist, bucket) - 1 as place, round(dist, 4) as dist from (
 select *, row_number() over (partition by query_id, block order by bucket) - 1 as b from {anchors(10, None, 64)}) where b % 4 = 0""",
     "nearest_window": NEAREST,
-    "dtw_pairs": PAIRS,
+    "dtw_pairs": pairs(CLOSED, "[len(b)]"),
+    "dtw_open_pairs": pairs(OPEN, ".list_min()"),
     "in_strand_average": """select user_id, bool_or(n = 10 and mean between 40.0 and 60.0) as in_strand from (
 select user_id, avg(value) over w as mean, count(value) over w as n from events window w as (partition by user_id order by ts, event_id rows 9 preceding)) group by 1""",
     "in_strand_ranges": """select user_id, event_id as "start", coalesce(lead_id, most + 1) as "end" from (

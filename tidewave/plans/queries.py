@@ -16,7 +16,7 @@ from tidewave.plans.search import Settings, search
 from tidewave.session import checkpointed, new_folder, one_row_per_key, remove_folder, spread, table
 from tidewave.sources.stream import channel_range, chunk_stream
 from tidewave.streaming.live import live, read_decisions
-from tidewave.streaming.online import channel_states, chunk_states, in_strand
+from tidewave.streaming.online import channel_states, chunk_states, in_strand, ring_buffer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,14 +169,13 @@ def interval_overlap(spark, d):
 
 @query
 def interval_overlap_any_name(spark, d):
-    wide = bed(spark, d).where("stop - start > 2000")
-    return intervals.overlap_join(located(spark, d), wide, ignore_name=True).groupBy("match_id").agg(F.count("*").alias("n"))
+    return intervals.overlap_join(located(spark, d), bed(spark, d), ignore_name=True).groupBy("match_id").agg(F.count("*").alias("n"))
 
 
 @query
 def interval_overlap_any_name_all(spark, d):
-    """Overlaps with every interval, short ones too; `interval_overlap_any_name` keeps to the wide ones that its SQL asks for."""
-    return intervals.overlap_join(located(spark, d), bed(spark, d), ignore_name=True).groupBy("match_id").agg(F.count("*").alias("n"))
+    """The same under its older name."""
+    return interval_overlap_any_name(spark, d)
 
 
 @query
@@ -278,8 +277,31 @@ def encode_signal(spark, d):
     """Texts as nucleotides through a model read off the events: their mean value by number modulo the k-mers."""
     model = table(spark, d, "events").groupBy((F.col("event_id") % 4**en.RNA).cast("int").alias("kmer_idx")).agg(F.avg("value").alias("mean"))
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("sequence"))
-    coded = en.encode(docs, model, rna=True, complement=True)
-    return rounded(coded.select("doc_id", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + F.when(F.isnan(x), 0.0).otherwise(x)).alias("total")), "total", digits=4)
+    return totals(en.encode(docs, model, rna=True, complement=True))
+
+
+def dna_model(spark: SparkSession, d: str) -> DataFrame:
+    """A k-mer model read off the events: mean and deviation of their values by number modulo the k-mers."""
+    return table(spark, d, "events").groupBy((F.col("event_id") % 4**en.DNA).cast("int").alias("kmer_idx")).agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("sd"))
+
+
+def totals(coded: DataFrame) -> DataFrame:
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + F.when(F.isnan(x), 0.0).otherwise(x))
+    return rounded(coded.select("doc_id", F.size("values").alias("n"), total.alias("total")), "total", digits=2)
+
+
+@query
+def encode_signal_dna(spark, d):
+    """Texts as DNA, both strands."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("sequence"))
+    return totals(en.encode(docs, dna_model(spark, d), complement=True))
+
+
+@query
+def encode_signal_complement_sd(spark, d):
+    """Texts as DNA: deviations along the complementary strand alone."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("sequence"))
+    return totals(en.encode(docs, dna_model(spark, d), signal_type=1, forward=False, complement=True))
 
 
 @query
@@ -311,6 +333,15 @@ def mini_dtw_soft(spark, d):
     return rounded(an.anchors(event_tiles(spark, d, 12), an.query_blocks(vectors(spark, d), 12), 12, 3), "dist", digits=4).select("query_id", "bucket", "block", "pos", "dist")
 
 
+@query
+def mini_dtw_deviation(spark, d):
+    """The hard alignment with deviations on both sides: of an event its number modulo 7, of a query sample 3."""
+    rows = table(spark, d, "events").withColumns({"series": F.lit(0).cast("bigint"), "sd": (F.col("event_id") % 7).cast("double")})
+    tiles = subject.ordered_tiles(rows, "series", "event_id", "value", 10, std="sd")
+    blocks = an.query_blocks(vectors(spark, d).withColumn("sd", F.transform("values", lambda x: F.lit(3.0))), 10, std="sd")
+    return rounded(an.anchors(tiles, blocks, 10), "dist", digits=4).select("query_id", "bucket", "block", "pos", "dist")
+
+
 @query
 def collinear_pairs(spark, d):
     return ch.collinear_pairs(an.anchors(event_tiles(spark, d, 10, 64), an.query_blocks(vectors(spark, d), 10), 10, bucket=64), 10).drop("subject_id")
@@ -334,6 +365,32 @@ def nearest_window(spark, d):
     return rounded(dtw.nearest_windows_to_all(lambda size: subject.tiles(subjects, "subject_id", "sub", size), vectors(spark, d)), "dist")
 
 
+@query
+def dtw_open_pairs(spark, d):
+    """Vectors whose id is divisible by 100 against all, leading and trailing samples of the other one left out at no cost."""
+    e = table(spark, d, "embeddings")
+    return rounded(dtw.distances_to_all(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", open_start=True, open_end=True), "distance")
+
+
+@query
+def stitched_pairs(spark, d):
+    """Each vector whose id is divisible by 100 with the vector after it, aligned piece by piece between anchors at every sixteenth sample."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    at = F.sequence(F.lit(0), F.lit(64), F.lit(16))
+    pairs = e.where("vec_id % 100 = 0").select("vec_id", F.col("v").alias("query"), F.transform(at, lambda i: F.struct(i.cast("int").alias("q"), i.cast("bigint").alias("s"))).alias("anchors"))
+    pairs = pairs.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("subject")), "vec_id")
+    return rounded(dtw.stitched(pairs).select("vec_id", "cost"), "cost")
+
+
+@query
+def latest_samples(spark, d):
+    """The last 100 samples of each item behind a buffer that held the item's own first ten."""
+    rows = items(spark, d, "m_reads").where("size(m_reads) > 0").select("item_id", F.transform("m_reads", lambda x: F.coalesce(x, F.lit(float("nan"))).cast("double")).alias("x"))
+    held = ring_buffer(F.slice("x", 1, 10), F.col("x"), 100)
+    total = F.aggregate(held, F.lit(0.0), lambda a, x: a + F.when(F.isnan(x) | (F.abs(x) >= 1e6), 0.0).otherwise(x))
+    return rounded(rows.select("item_id", F.size(held).alias("n"), total.alias("total")), "total", digits=3)
+
+
 @query
 def segments(spark, d):
     return segment.segmented(items(spark, d, "m_reads"), "item_id", "m_reads", 6)

@@ -19,35 +19,41 @@ def h5py():
 
 
 class ReadsPartition(InputPartition):
-    def __init__(self, path: str, channel: str | None = None, start: int = 0, end: int | None = None):
-        self.path, self.channel, self.start, self.end = path, channel, start, end
+    def __init__(self, path: str, channel: str | None = None, start: int = 0, end: int | None = None, first: bool = True):
+        self.path, self.channel, self.start, self.end, self.first = path, channel, start, end, first
 
 
 class Fast5Reader(DataSourceReader):
-    """One partition per file, or per (file, channel, range) of a bulk file.
+    """One partition per file; given `channels` one per file and channel, for bulk files, which hold whole channels.
 
-    Options: path (file or folder), start and end (samples of a bulk channel), names (true: null values, no samples are read).
-    Reads without a name, samples or access are skipped.
+    Options: path (file, folder or pattern), channels (FIRST-LAST), start and end (samples of a bulk channel), names (true: null values,
+    no samples are read). Files are opened by the tasks only. Reads without a name, samples or access are skipped.
     """
 
     def __init__(self, options: dict):
         self.path, self.start, self.end = Path(options["path"].removeprefix("file:")), int(options.get("start", 0)), options.get("end")
+        self.channels = [int(x) for x in options["channels"].split("-")] if "channels" in options else None
         self.names = options.get("names", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(self.path.glob("*.fast5")) if self.path.is_dir() else [self.path]
-        out: list[InputPartition] = []
-        for f in files:
-            with h5py().File(f, "r") as h:
-                if is_bulk(h):
-                    out += [ReadsPartition(str(f), c, self.start, None if self.end is None else int(self.end)) for c in h["Raw"]]
-                else:
-                    out.append(ReadsPartition(str(f)))
-        return out
+        files = sorted(self.path.glob("*.fast5")) if self.path.is_dir() else sorted(self.path.parent.glob(self.path.name))
+        numbers = [f"Channel_{n}" for n in range(self.channels[0], self.channels[-1] + 1)] if self.channels else [None]
+        return [ReadsPartition(str(f), c, self.start, None if self.end is None else int(self.end), c == numbers[0]) for f in files for c in numbers]
 
     def read(self, partition: ReadsPartition) -> Iterator[tuple]:
         with h5py().File(partition.path, "r") as h:
-            yield from bulk_reads(h, partition, self.names) if partition.channel else single_and_multi_reads(h, self.names)
+            yield from reads(h, partition, self.names)
+
+
+def reads(h, p: ReadsPartition, names: bool = False) -> Iterator[tuple]:
+    """The reads of an open file: of a bulk file those of the partition's channel, or of every channel, else all of them."""
+    if not is_bulk(h):
+        if p.channel is None or p.first:  # a file of reads is read once, not once a channel
+            yield from single_and_multi_reads(h, names)
+        return
+    for channel in [p.channel] if p.channel else h["Raw"]:
+        if channel in h["Raw"]:
+            yield from bulk_reads(h, ReadsPartition(p.path, channel, p.start, p.end), names)
 
 
 def is_bulk(h) -> bool:
@@ -58,7 +64,7 @@ def is_bulk(h) -> bool:
 def single_and_multi_reads(h, names: bool = False) -> Iterator[tuple]:
     groups = [(n, g) for n, g in h["Raw/Reads"].items()] if "Raw" in h and "Reads" in h["Raw"] else [(n, g["Raw"]) for n, g in h.items() if n.lower().startswith("read_") and "Raw" in g]
     for name, g in groups:
-        if "Signal" in g and len(g["Signal"]):
+        if name and "Signal" in g and len(g["Signal"]):
             yield name, None if names else [float(x) for x in g["Signal"][:]]
 
 

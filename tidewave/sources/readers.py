@@ -19,6 +19,17 @@ def list_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = ENDI
     return found.select("path", "length").orderBy("path")
 
 
+def file_lengths(spark: SparkSession, path: str | list[str]) -> list[int]:
+    """Bytes of each file that a path, pattern or folder names, empty ones too, which scans pass over."""
+    out = []
+    for p in [path] if isinstance(path, str) else path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in fs.globStatus(at) or []:
+            out += [f.getLen() for f in (fs.listStatus(found.getPath()) if found.isDirectory() else [found]) if f.isFile()]
+    return out
+
+
 def file_name(path) -> F.Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
@@ -61,24 +72,42 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(name, sequence) of each record of FASTA files: names keep their '>', lines are joined and put in capitals.
 
     Blank lines are skipped; a header without letters gives an empty sequence; text before the first header is left out.
+    Files are split at headers, so a large one is read by many tasks.
     """
-    records = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"(?m)^>")).alias("at", "record")).where("at > 0")
-    head = F.regexp_extract("record", r"^([^\r\n]*)", 1)
-    body = F.upper(F.regexp_replace(F.regexp_replace("record", r"^[^\r\n]*", ""), r"\s+", ""))
-    return records.select(F.concat(F.lit(">"), head).alias("name"), body.alias("sequence"))
+    records = spark.read.text(path, lineSep="\n>").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            names, seqs = [], []
+            for text, *at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if at != before and not at[1]:  # the start of a file: what has no '>' isn't a record
+                    text = text[1:] if text.startswith(">") else None
+                before = at
+                if text is not None:
+                    head, _, body = text.partition("\n")
+                    names.append(">" + head.rstrip("\r"))
+                    seqs.append("".join(body.split()).upper())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.string())], ["name", "sequence"])
+
+    return records.mapInArrow(run, "name string, sequence string")
 
 
 def read_bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(name, start, stop) of BED files, half-open ends made inclusive.
 
     Carriage returns are stripped, fields after the third ignored. A line of fewer than three fields or with ends that are no
-    numbers fails the whole load when the rows are read, as does a file without lines.
+    numbers fails the whole load with ValueError, as does an empty file: the lines are checked before anything is given out.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r", "").alias("line"), F.col("_metadata.file_path").alias("path"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r", "").alias("line"))
     parts = F.split("line", "\t")
-    start, end = F.get(parts, 1).try_cast("bigint"), F.get(parts, 2).try_cast("bigint")
-    bad = F.raise_error(F.concat(F.lit("malformed interval line: "), F.col("line"))).cast("bigint")
-    return lines.select(F.get(parts, 0).alias("name"), F.coalesce(start, bad).alias("start"), (F.coalesce(end, bad) - 1).alias("stop"))
+    name, start, end = F.get(parts, 0), F.get(parts, 1).try_cast("bigint"), F.get(parts, 2).try_cast("bigint")
+    bad = lines.where(start.isNull() | end.isNull()).first()
+    if bad is not None:
+        raise ValueError(f"malformed interval line: {bad['line']}")
+    if lines.isEmpty() or any(not n for n in file_lengths(spark, path)):
+        raise ValueError(f"an interval file without lines: {path}")
+    return lines.select(name.alias("name"), start.alias("start"), (end - 1).alias("stop"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -93,11 +122,23 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_series(spark: SparkSession, path: str, encode=None) -> DataFrame:
-    """(name, values) of the files of one kind, told by the ending: text, TSV, binary, FASTA (through `encode`) or FAST5.
+    """(name, values) of files told by their ending: text, TSV, binary, FASTA (through `encode`) or FAST5.
 
-    `encode` maps a DataFrame (name, sequence) to (name, values); an unknown ending raises ValueError.
+    A path without one of these endings is a folder, whose own files are read each by its kind; others in it are left out, and a
+    folder without any raises ValueError. `encode` maps a DataFrame (name, sequence) to (name, values).
     """
-    ending = path[path.rfind(".") :].rstrip("}*")
+    ending = next((e for e in ENDINGS if path.rstrip("}*").endswith(e)), None)
+    if ending is None and "." in path.rstrip("/").rsplit("/", 1)[-1].lstrip("."):
+        raise ValueError(f"no reader for {path}")
+    if ending is None:
+        found = list_files(spark, path).select(F.regexp_extract("path", r"(\.[^.]+)$", 1).alias("e")).distinct().collect()  # five at most
+        kinds = [read_series(spark, f"{path.rstrip('/')}/*{r['e']}", encode) for r in sorted(found)]
+        if not kinds:
+            raise ValueError(f"no file to read in {path}")
+        out = kinds[0]
+        for k in kinds[1:]:
+            out = out.unionByName(k)
+        return out
     if ending == ".txt":
         return read_text_series(spark, path)
     if ending == ".tsv":
@@ -107,12 +148,31 @@ def read_series(spark: SparkSession, path: str, encode=None) -> DataFrame:
     if ending == ".fna":
         if encode is None:
             raise ValueError("FASTA needs an encoder to become a series")
-        return encode(read_fasta(spark, path))
-    if ending == ".fast5":
-        from tidewave.sources.fast5 import register
+        return encode(read_fasta(spark, path)).select("name", "values")
+    from tidewave.sources.fast5 import register
+
+    return spark.read.format(register(spark)).load(path)
 
-        return spark.read.format(register(spark)).load(path)
-    raise ValueError(f"no reader for {path}")
+
+def load_subject(spark: SparkSession, path: str, encode=None, std: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(series, statistics) of the subject at `path`: (name, values) and their mean, sd, low and high over all values.
+
+    `std`, the path of parallel deviations by the same names, adds the column `std`; where the two aren't equally long, or one is
+    missing, or there is no value at all, ValueError.
+    """
+    from tidewave.operators.normalize import list_stats
+
+    series = read_series(spark, path, encode)
+    if std is not None:
+        other = read_series(spark, std, encode).select(F.col("name").alias("__n"), F.col("values").alias("std"))
+        both = series.join(other, F.col("name") == F.col("__n"), "full")
+        if not both.where("name is null or __n is null or size(values) <> size(std)").isEmpty():
+            raise ValueError("values and deviations of a subject must be the same series, equally long")
+        series = both.drop("__n")
+    stats = list_stats(series, [], "values")
+    if not stats.first()["n"]:
+        raise ValueError(f"a subject without values: {path}")
+    return series, stats
 
 
 def count_records(spark: SparkSession, path: str) -> int:
