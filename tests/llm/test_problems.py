@@ -234,6 +234,15 @@ def test_ids_equal_plain_encoding(spark):
     assert tokens.encode_corpus(df.where("false")).count() == 0
 
 
+def test_portions_of_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "PORTION", 10)
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aaaa", None, "bbbbbb", "", "c" * 30, "d"])], ["k", "t"])
+    got = list(tokens.portions(iter([b, b.slice(0, 0)])))
+    assert [x.num_rows for x in got] == [4, 1, 1, 0] and pa.Table.from_batches(got).column(1).to_pylist() == b.column(1).to_pylist()
+
+
 # packing
 
 

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ ASCII_SPACES = (9, 10, 11, 12, 13, 32)
 
 #: Fragments of more bytes are encoded anew each time; entries a task keeps of the shorter ones.
 CACHED_BYTES, CACHED_FRAGMENTS = 40, 400_000
+#: Bytes of text that are encoded together, a longer text alone.
+PORTION = 8 << 20
 #: Stretches between white space are cut further only from so many bytes on: shorter ones recur as whole words.
 LONG_STRETCH = 96
 
@@ -64,7 +67,7 @@ class FragmentEncoder:
 
         ranks = read_ranks(folder, name)
         self.cut = cut_table(ranks).ravel()
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.space = np.isin(np.arange(256), ASCII_SPACES)
         self.known: dict[bytes, tuple[int, ...]] = {}
 
@@ -117,6 +120,19 @@ def encoder(folder: str, name: str) -> FragmentEncoder:
     return FragmentEncoder(folder, name)
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches (key, text) in slices of at most PORTION bytes of text, or of one text."""
+    for b in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64)
+        upto, at = np.concatenate([[0], np.cumsum(size)]), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + PORTION, "right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+        if not b.num_rows:
+            yield b
+
+
 def _names(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")))
 
@@ -131,7 +147,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
-        for b in batches:
+        for b in portions(batches):
             ids, upto = enc.batch(b.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["__key", "ids"])
@@ -145,7 +161,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
-        for b in batches:
+        for b in portions(batches):
             _, upto = enc.batch(b.column(1), count_only=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(upto, prepend=0), pa.int64())], ["__key", "n_tokens"])
 

@@ -21,6 +21,10 @@ def top_n_per_group(df: DataFrame, group: str, score: str, n: int, ties: list[Co
     group is spread over all tasks) and row_number() ranks the rest; Spark keeps n rows per group and task before the last
     shuffle, so neither a hot group nor a group of equal scores gathers in one task.
 
+    A bucket's set counts at most 64 keys, so with `n` beyond 64 a group may need several buckets for a threshold, or, if its
+    scores are all equal, finds none and is ranked whole: the rows are the same, only more of them reach the ranking.
+    SMALL_GROUP and `broadcast_rows` also change the plan, not the rows.
+
     Null groups, null or NaN scores and null keys do not compete. Fewer than `n` rows: all of them. Empty input: no rows.
     Adds `rank` (1 to n); columns of the input that are called so are replaced.
     """

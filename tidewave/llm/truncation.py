@@ -461,11 +461,13 @@ def judged(prof: DataFrame, counts: DataFrame, base: float, counted: Column) ->
     shape = rows.select("state").distinct().join(sure, "state", "left").join(cut, "state", "left").select("state", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("m", F.lit(0)).alias("m"))
     sums = shape.agg(F.sum("c").alias("c"), F.sum("m").alias("m")).first()
     ratio = F.log((F.col("c") + 0.5) / ((sums["c"] or 0) + 1)) - F.log((F.col("m") + 0.5) / ((sums["m"] or 0) + 1))
+    # states are joined from six words, so there are a few dozen at most
     rows = rows.join(F.broadcast(shape.select("state", ratio.alias("structure"))), "state")
     rows = rows.withColumn("evidence", F.col("ending") + F.col("structure"))
     bins = rows.groupBy("source", "at_limit", "lang", F.round(4 * F.greatest(F.lit(-15.0), F.least(F.lit(15.0), F.col("evidence")))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     priors = bins.groupBy("source", "at_limit").applyInPandas(_priors, "source string, at_limit string, lang string, threshold double")
-    rows = rows.join(F.broadcast(priors), ["source", "at_limit", "lang"])
+    priors = checkpointed(priors)  # a row for each source, place at its limit and language
+    rows = rows.join(broadcast_if_small(priors, priors.count()), ["source", "at_limit", "lang"])
     return rows.withColumn("cut_off", F.col("evidence") + F.col("threshold") < -MARGIN)
 
 
