@@ -227,6 +227,11 @@ select *, row_number() over (partition by query_id, block order by bucket) - 1 a
     "nearest_window": NEAREST,
     "dtw_pairs": pairs(CLOSED, "[len(b)]"),
     "dtw_open_pairs": pairs(OPEN, ".list_min()"),
+    "in_strand_items": """select item_id, case when len(x) >= 10 then list_reduce(list_transform(x[11:], lambda v: [v]),
+    lambda s, v: [s[1] + v[1] / 10 - s[1] / 10, greatest(s[2], case when s[1] + v[1] / 10 - s[1] / 10 between 300 and 1300 then 1.0 else 0.0 end)],
+    [m, case when m between 300 and 1300 then 1.0 else 0.0 end])[2] = 1 else false end as in_strand
+from (select item_id, x, list_reduce(list_transform(x[1:10], lambda v: v / 10), lambda a, b: a + b, cast(0.0 as double)) as m from (
+  select item_id, list_transform(any_value(m_reads), lambda v: case when v is null or isnan(v) then cast(0.0 as double) else cast(v as double) end) as x from wqueue where m_reads is not null group by item_id))""",
     "in_strand_average": """select user_id, bool_or(n = 10 and mean between 40.0 and 60.0) as in_strand from (
 select user_id, avg(value) over w as mean, count(value) over w as n from events window w as (partition by user_id order by ts, event_id rows 9 preceding)) group by 1""",
     "in_strand_ranges": """select user_id, event_id as "start", coalesce(lead_id, most + 1) as "end" from (
