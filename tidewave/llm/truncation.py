@@ -17,6 +17,8 @@ from tidewave.session import broadcast_if_small, checkpointed, spread
 #: Lengths of the final contexts in characters and in shapes, and weight of the shorter context.
 ORDERS, SHAPES, BACKOFF = (2, 4, 7, 11, 16), (1, 2, 4, 6, 9), 3.0
 TABLES = len(ORDERS) + len(SHAPES)
+#: Log odds beyond which one of the two models is not believed: its counts are those of contexts that overlap.
+SURE = 10.0
 #: Share of a shorter context's places from which a longer one stands at the same places.
 SAME = 0.9
 #: Characters gathered at once, positions hashed at once (few enough for a core's cache), contexts that wait to be counted together,
@@ -456,7 +458,8 @@ def judged(prof: DataFrame, counts: DataFrame, base: float, counted: Column) ->
         start = F.struct(F.lit(base).alias("p"), F.lit(float("inf")).alias("of"))
         step = lambda c, s: F.when(s["e"] + s["n"] <= SAME * c["of"], F.struct(((s["e"] + BACKOFF * c["p"]) / (s["e"] + s["n"] + BACKOFF)).alias("p"), (s["e"] + s["n"]).alias("of"))).otherwise(c)
         p = F.aggregate(those, start, step, lambda c: c["p"])
-        return F.log(p) - F.log1p(-p) - F.lit(float(np.log(base / (1 - base))))
+        odds = F.log(p) - F.log1p(-p) - F.lit(float(np.log(base / (1 - base))))
+        return F.greatest(F.lit(-SURE), F.least(F.lit(SURE), odds))
 
     letters, forms = lift(F.filter("seen", lambda s: s["o"] < len(ORDERS))), lift(F.filter("seen", lambda s: s["o"] >= len(ORDERS)))
     rows = checkpointed(prof.join(found.select("key", letters.alias("letters"), forms.alias("forms")), "key"))
