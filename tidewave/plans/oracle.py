@@ -141,7 +141,7 @@ def encoded(k: int, bases: str, strands: tuple[bool, bool], value: str) -> str:
     """Number and sum of the model's values along the chosen strands of each text."""
     texts = " union all ".join(t for t, on in ((f"select doc_id, {bases} as s from documents where text is not null", strands[0]), (f"select doc_id, reverse(translate({bases}, 'ACGT', 'TGCA')) as s from documents where text is not null", strands[1])) if on)
     number = " + ".join(f"(instr('ACGT', substr(s, i + {j}, 1)) - 1) * {4 ** (k - 1 - j)}" for j in range(k))
-    return f"""select d.doc_id, cast(count(k) as integer) as n, round(coalesce(sum(coalesce(v, 0.0)), 0.0), 2) as total from documents d
+    return f"""select d.doc_id, cast(count(k) as integer) as n, round(coalesce(sum(coalesce(v, 0.0)), 0.0) + 1e-5, 2) as total from documents d
 left join (select doc_id, {number} as k from (select doc_id, s, unnest(range(1, len(s) - {k - 2})) as i from ({texts}))) using (doc_id)
 left join (select event_id % {4**k} as m, {value} as v from events group by 1) on k = m where d.text is not null group by 1"""
 

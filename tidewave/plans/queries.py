@@ -286,8 +286,9 @@ def dna_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def totals(coded: DataFrame) -> DataFrame:
+    """(doc_id, n, total) to two digits, off the ties that sums of short decimals often are."""
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + F.when(F.isnan(x), 0.0).otherwise(x))
-    return rounded(coded.select("doc_id", F.size("values").alias("n"), total.alias("total")), "total", digits=2)
+    return rounded(coded.select("doc_id", F.size("values").alias("n"), (total + 1e-5).alias("total")), "total", digits=2)
 
 
 @query
