@@ -5,7 +5,9 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.functions import encode as en
 from tidewave.operators import decide, intervals, normalize, prefix, rank, ranksum, segment, states, subject
@@ -166,6 +168,29 @@ def test_encode_strands(spark):
     assert len(en.encode(df, spark.createDataFrame([(0, 1.0)], "kmer_idx int, mean double")).first()["values"]) == 13
 
 
+def test_encode_odd_texts(spark):
+    texts = ["ACGTUacgtu", "aßc🙂gtNN\nACGT", "", None, "ACG", "é" * 9, "TTTTTTTTTTTT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, sequence string")
+    for rna, k in ((True, en.RNA), (False, en.DNA)):
+        model = spark.createDataFrame([(i, float(i), i / 2) for i in range(4**k)], "kmer_idx int, mean double, sd double")
+        bases = en.clean_bases("sequence", rna)
+        strands = [en.kmer_indexes(x, k) for x in (bases, en.reverse_complement(bases))]
+        for forward, complement in ((True, True), (True, False), (False, True)):
+            want = df.select("id", F.concat(*[x for x, on in zip(strands, (forward, complement)) if on]).alias("v")).collect()
+            got = en.encode(df, model, rna, 0, forward, complement).collect()
+            assert {r["id"]: r["values"] for r in got} == {r["id"]: r["v"] for r in want}
+
+
+def test_encode_in_portions():
+    texts = ["ACGT" * 500] * 3000 + [None, "", "A" * 2_000_000]
+    sizes = []
+    for at, end, signals in en.encoded(pa.array(texts), np.arange(4.0**en.DNA), en.DNA, False, True, True):
+        assert signals.to_pylist()[0] is None or len(signals[0]) == 2 * max(0, len(texts[at]) - 5)
+        sizes.append((end - at, len(signals.values)))
+    assert sum(n for n, _ in sizes) == len(texts)
+    assert all(n == 1 or values <= 2 * en.PORTION for n, values in sizes)
+
+
 def test_unique_prefixes(spark):
     seqs = ["ACGTACGT", "ACGTTT", "ACGTACGA", "GG", "GG", "", None]
     df = spark.createDataFrame(list(enumerate(seqs)), "id long, s string")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Length of the k-mers of either kind of molecule.
 RNA, DNA = 5, 6
@@ -63,18 +68,63 @@ def model_values(model: DataFrame, k: int, signal_type: int = 0) -> np.ndarray:
     return out
 
 
+#: Characters of text that are encoded at a time, or one whole text: 2 MB of values a strand.
+PORTION = 1 << 18
+
+
+def encoded(texts: pa.Array, table: np.ndarray, k: int, rna: bool, forward: bool, complement: bool) -> Iterator[tuple[int, int, pa.ListArray]]:
+    """(from, to, signals) of portions of the texts, in order: as `encode` gives them, `table` holding the reading of each k-mer.
+
+    Bytes that continue a character are left out, so that each character is one base, as in `clean_bases`.
+    """
+    digit = np.zeros(256, np.int32)
+    digit[np.frombuffer(b"ACGTacgt" + b"Uu" * rna, np.uint8)] = [0, 1, 2, 3] * 2 + [3, 3] * rna
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    upto, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + PORTION, "right")) - 1)
+        raw = np.frombuffer("".join(x for x in texts.slice(at, end - at).to_pylist() if x is not None).encode(), np.uint8)
+        first = (raw & 0xC0) != 0x80
+        edge = np.concatenate([[0], np.cumsum(first)])[upto[at : end + 1] - upto[at]]
+        d = digit[raw[first]]
+        windows = max(0, len(d) - k + 1)
+        strands = []
+        if forward:
+            number = np.zeros(windows, np.int32)
+            for j in range(k):
+                number = number * 4 + d[j : j + windows]
+            strands.append((table[number], 1))
+        if complement:
+            number = np.zeros(windows, np.int32)
+            for j in reversed(range(k)):
+                number = number * 4 + (3 - d[j : j + windows])
+            strands.append((table[number], -1))
+        counts = np.maximum(np.diff(edge) - k + 1, 0)
+        ends = np.concatenate([[0], np.cumsum(counts * len(strands))])
+        out = np.empty(ends[-1])
+        for a, n, to in zip(edge.tolist(), counts.tolist(), ends.tolist()):
+            for i, (values, step) in enumerate(strands if n else ()):
+                out[to + i * n : to + (i + 1) * n] = values[a : a + n][::step]
+        missing = pa.array(np.asarray(texts.slice(at, end - at).is_null())) if strands and texts.null_count else None
+        yield at, end, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out), mask=missing)
+        at = end
+
+
 def encode(seqs: DataFrame, model: DataFrame, rna: bool = False, signal_type: int = 0, forward: bool = True, complement: bool = False, seq: str = "sequence") -> DataFrame:
     """`seqs` with `values`: the signal of the sequence, of its reverse complement, or of both joined in that order.
 
-    A sequence of n bases gives n - k + 1 values a strand, none if n < k; null gives null.
+    A sequence of n bases gives n - k + 1 values a strand, none if n < k; null gives null. Bases are cleaned as by `clean_bases`. The signals of
+    a portion of the sequences leave a task before those of the next are made, as they take many times the room of the text.
     """
     k = RNA if rna else DNA
     table = model_values(model, k, signal_type)
+    columns = [c for c in seqs.columns if c != "values"]
+    rows = seqs.select(*[F.col(f"`{c}`") for c in columns], F.col(seq).alias("__seq"))
+    schema = StructType([*(seqs.schema[c] for c in columns), StructField("values", ArrayType(DoubleType()))])
 
-    @F.pandas_udf("array<double>")
-    def look_up(index: pd.Series) -> pd.Series:
-        return index.map(lambda i: None if i is None else table[np.asarray(i, dtype=np.int64)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, end, signals in encoded(b.column(len(columns)), table, k, rna, forward, complement):
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in b.columns[:-1]), signals], [*columns, "values"])
 
-    bases = clean_bases(seq, rna)
-    strands = [kmer_indexes(s, k) for s, on in ((bases, forward), (reverse_complement(bases), complement)) if on]
-    return seqs.withColumn("values", look_up(F.concat(*strands) if strands else F.array().cast("array<int>")))
+    return rows.mapInArrow(run, schema)
