@@ -487,3 +487,18 @@ def test_one_row_per_key(spark, tmp_path):
         got = [r.id for r in one_row_per_key(d, "id").collect()]
         assert sorted(x or 0 for x in got) == ([0, 0, 1, 2] if got else [])
     assert one_row_per_key(spark.read.parquet(str(tmp_path / "t")), "id", broadcast_rows=0).count() == 4
+
+
+def test_stream_state_in_few_batches(spark, tmp_path, monkeypatch):
+    from tidewave.plans import queries
+
+    rows = [(i, i % 3 + 1, [float(i), float(i + 1)], T0) for i in range(12)]
+    schema = "item_id long, m_channel_num long, m_reads array<float>, queued_at timestamp_ntz"
+    for i in range(6):
+        spark.createDataFrame(rows[2 * i : 2 * i + 2] + rows[:1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "wqueue.parquet"))
+    before = tmp_path / "made"
+    monkeypatch.setattr(queries, "new_folder", lambda *_: str(before))
+    monkeypatch.setattr(queries, "remove_folder", lambda *_: None)
+    got = {r.channel: (r.n, r.mean) for r in queries.stream_state(spark, str(tmp_path)).collect()}
+    assert got == {c: (8, float(np.mean([x for r in rows if r[1] == c for x in r[2]]))) for c in (1, 2, 3)}
+    assert len([p for p in (before / "state" / "commits").iterdir() if p.name.isdigit()]) == 1
