@@ -502,3 +502,31 @@ def test_stream_state_in_few_batches(spark, tmp_path, monkeypatch):
     got = {r.channel: (r.n, r.mean) for r in queries.stream_state(spark, str(tmp_path)).collect()}
     assert got == {c: (8, float(np.mean([x for r in rows if r[1] == c for x in r[2]]))) for c in (1, 2, 3)}
     assert len([p for p in (before / "state" / "commits").iterdir() if p.name.isdigit()]) == 1
+
+
+def test_live_search_prepares_subjects_once(spark, tmp_path, monkeypatch):
+    from tidewave.plans.search import Settings
+    from tidewave.streaming import live as module
+
+    begun = []
+    prepared = module.prepared
+    monkeypatch.setattr(module, "prepared", lambda *a: begun.append(a) or prepared(*a))
+    rng = np.random.default_rng(8)
+    x = rng.normal(500, 80, 400)
+    subjects = spark.createDataFrame([(1, x.tolist())], "subject_id long, values array<double>")
+    for k in range(2):
+        spark.createDataFrame([(k, 7, k, x[100 * k : 100 * k + 60].tolist())], "item_id long, channel long, at long, samples array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    module.live(chunk_stream(spark, str(tmp_path / "in"), "item_id long, channel long, at long, samples array<double>"), subjects, Settings(bucket=128), str(tmp_path / "live")).awaitTermination()
+    assert len(begun) == 1 and module.read_decisions(spark, str(tmp_path / "live")).select("batch").distinct().count() == 2
+    assert spark.read.parquet(str(tmp_path / "live" / "subjects")).count() == 4
+
+
+def test_few_rows_run_in_one_window(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidewave.operators import prefixsum
+
+    df = spark.createDataFrame([(i % 3 or None, i, i * i) for i in range(60)], "g int, o int, v long")
+    cut = sorted(prefixsum.running_in_group(df, ["g"], ["o"], {"t": F.col("v")}).collect(), key=str)
+    monkeypatch.setattr(prefixsum, "checkpointed", None)  # the one window needs none
+    assert sorted(prefixsum.running_in_group(df, ["g"], ["o"], {"t": F.col("v")}, 60).collect(), key=str) == cut
