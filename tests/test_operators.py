@@ -530,3 +530,34 @@ def test_few_rows_run_in_one_window(spark, monkeypatch):
     cut = sorted(prefixsum.running_in_group(df, ["g"], ["o"], {"t": F.col("v")}).collect(), key=str)
     monkeypatch.setattr(prefixsum, "checkpointed", None)  # the one window needs none
     assert sorted(prefixsum.running_in_group(df, ["g"], ["o"], {"t": F.col("v")}, 60).collect(), key=str) == cut
+
+
+def test_live_steps_equal_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidewave.plans.search import Settings
+    from tidewave.streaming.live import live, read_decisions
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(500, 80, 1500)
+    subjects = spark.createDataFrame([(1, x.tolist())], "subject_id long, values array<double>")
+    settings, kind = Settings(max_p=0.01, bucket=128, mode="none"), "item_id long, channel long, at timestamp, samples array<double>"
+    part = lambda a: x[a : a + 260] * 0.2 + 3
+    files = [[(1, 7, part(100)), (2, 7, rng.normal(100, 15, 60)), (3, 8, rng.normal(90, 9, 70))], [(4, 7, part(400)), (3, 9, part(9)), (5, 8, part(300))], [(6, 7, part(700)), (7, 8, rng.normal(60, 9, 50))], [(8, 7, part(900)), (9, 8, part(1200))]]
+    for k, rows in enumerate(files):
+        # times run backwards, as steps come before them
+        made = spark.createDataFrame([(i, c, T0 - dt.timedelta(seconds=i), v.tolist()) for i, c, v in rows], kind)
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = {}
+    for name in ("batches", "steps"):
+        chunks = chunk_stream(spark, str(tmp_path / "in"), kind, bytes_per_batch=1 << 30 if name == "steps" else None)
+        chunks = chunks.withColumn("step", F.struct("_metadata.file_modification_time", "_metadata.file_path")) if name == "steps" else chunks
+        folder = str(tmp_path / name)
+        live(chunks, subjects, settings, folder, negative=True).awaitTermination()
+        last = read_decisions(spark, folder).agg(F.max("batch")).first()[0]
+        decisions = sorted((r.item_id, r.channel, r.action, r.p_value and round(r.p_value, 9)) for r in read_decisions(spark, folder).collect())
+        matches = sorted((r.query_id, r.left_anchor_subject, round(r.p_value, 9)) for r in spark.read.parquet(f"{folder}/matches").collect())
+        states = {r.channel: (r.n, pytest.approx(r.mean), pytest.approx(r.ssq)) for r in spark.read.parquet(f"{folder}/states/batch={last}").collect()}
+        got[name] = decisions, matches, states, last
+    assert got["batches"][:3] == got["steps"][:3] and (got["batches"][3], got["steps"][3]) == (3, 0)
+    assert len([1 for _, c, action, _ in got["steps"][0] if c == 7 and action == "eject"]) > 1
